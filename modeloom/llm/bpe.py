@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -19,9 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks whose tokens a worker keeps; the memo is emptied when full.
-MEMO_SIZE = 400_000
-#: Longer chunks are not kept in the memo.
+#: Chunks and words whose tokens a worker keeps, twice: those asked for lately and those before.
+MEMO_SIZE = 150_000
+#: Words of longer chunks are not kept.
 MEMO_CHUNK = 64
 #: str.split() cuts at these, the tokenizer's white space class doesn't.
 ODD_GAPS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -69,6 +70,8 @@ class Vocabulary:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p)
+        # the same pattern for lower-case ASCII, where letters and digits are plain ranges
+        self.plain_token = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         for kind in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(kind, f"[{kind}--[{NEWER}]]")
         self.pre_token = regex.compile(pattern, regex.V1)
@@ -104,65 +107,70 @@ class Vocabulary:
         found = ahocorasick.Automaton()
         for i, code in enumerate(self.codes):
             if code:
-                found.add_word(code, (i, len(code)))
+                found.add_word(code, (len(code) - 1, i))
         found.make_automaton()
         return found
 
+    @functools.cached_property
+    def shorter(self) -> list[int]:
+        """Of each token the longest other token that it begins with, or -1."""
+        known = {code: i for i, code in enumerate(self.codes) if code}
+        return [next((known[c[:k]] for k in range(len(c) - 1, 0, -1) if c[:k] in known), -1) for c in self.codes]
+
     @functools.cached_property
     def compatible(self):
         """Whether exact merging leaves the border between two tokens alone."""
 
-        @functools.lru_cache(maxsize=200_000)
-        def table(a: int, b: int) -> bool:
-            below = 1 << 40
-            while True:
-                whole = self.merges.get((a, b))
-                if whole is not None and whole < below:
-                    return False
-                # undo the later of the two merges; on a tie the left side was merged first
-                order = ((a, 1), (b, 0)) if a > b else ((b, 0), (a, 1))
-                for token, side in order:
-                    part = self.halves[token][side]
-                    if part != token:
-                        if side:
-                            below, a = token, part
-                        else:
-                            below, b = token + 1, part
-                        break
-                else:
-                    return True
-
-        return table
+        return functools.lru_cache(maxsize=200_000)(lambda a, b: self.meets(a, b, 1 << 40))
+
+    def meets(self, a: int, b: int, below: int) -> bool:
+        """Whether no merge earlier than ``below`` crosses the border between two tokens."""
+        while True:
+            whole = self.merges.get((a, b))
+            if whole is not None and whole < below:
+                return False
+            # undo the later of the two merges; on a tie the left side was merged first
+            order = ((a, 1), (b, 0)) if a > b else ((b, 0), (a, 1))
+            for token, side in order:
+                part = self.halves[token][side]
+                if part != token:
+                    if side:
+                        below, a = token, part
+                    else:
+                        below, b = token + 1, part
+                    break
+            else:
+                return True
 
     def encode_word(self, word: bytes) -> list[int]:
         """Tokens of a pre-token: longest matches, shortened or taken back until every border is compatible."""
-        if not word:
-            return []
         n = len(word)
-        text = "".join(map(chr, word[:-1])) + chr(word[-1] + 256)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, size) in self.automaton.iter(text):
-            starts[end - size + 1].append((size, token))  # ends rise, so sizes do
-        path: list[tuple[int, int]] = []  # of (choice among starts, token)
+        if n < 2:
+            return [self.symbol_id[256 + word[0]]] if n else []
+        longest = [-1] * n
+        for end, (back, token) in self.automaton.iter(word[:-1].decode("latin-1") + chr(word[-1] + 256)):
+            longest[end - back] = token  # ends rise, so the last is the longest
+        codes, shorter, compatible = self.codes, self.shorter, self.compatible
+        path: list[int] = []
         dead = bytearray(n + 1)
-        at, choice = 0, len(starts[0]) - 1
-        compatible = self.compatible
-        while at < n:
-            while choice >= 0:
-                size, token = starts[at][choice]
-                if not dead[at + size] and (not path or compatible(path[-1][1], token)):
+        at, token, last = 0, longest[0], -1
+        while True:
+            while token >= 0:
+                upto = at + len(codes[token])
+                if not dead[upto] and (last < 0 or compatible(last, token)):
                     break
-                choice -= 1
-            if choice >= 0:
-                path.append((choice, token))
-                at += size
-                choice = len(starts[at]) - 1 if at < n else -1
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                if upto == n:
+                    return path
+                at, last, token = upto, token, longest[upto]
             else:  # nothing fits here: this place can't be reached
                 dead[at] = 1
-                choice, token = path.pop()
-                at -= len(self.codes[token])
-                choice -= 1
-        return [t for _, t in path]
+                token = path.pop()
+                at -= len(codes[token])
+                last = path[-1] if path else -1
+                token = shorter[token]
 
     def normalise(self, text: str) -> str:
         """NFC, then each character's own lower case (so no final sigma)."""
@@ -170,6 +178,10 @@ class Vocabulary:
         return text.lower() if text.isascii() else text.replace("Σ", "σ").translate(LATER_LOWER).lower()
 
     def words(self, chunk: str) -> list[bytes]:
+        """The pre-tokens of a chunk without white space."""
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low.encode()] if low.isalpha() else [w.encode() for w in self.plain_token.findall(low)]
         return [w.encode() for w in self.pre_token.findall(self.normalise(chunk))]
 
     def chunks(self, text: str) -> Iterator[str | int]:
@@ -197,6 +209,10 @@ class Vocabulary:
     def piece(self, token: int) -> bytes:
         return self.blob[self.offsets[token] : self.offsets[token + 1]]
 
+    @functools.cached_property
+    def pieces(self) -> list[bytes]:
+        return [self.piece(i) for i in range(len(self.offsets) - 1)]
+
     def decode(self, ids: list[int]) -> str:
         """The pieces joined by spaces, as the file names no decoder; ids outside the vocabulary are skipped."""
         return b" ".join(self.piece(i) for i in ids if 0 <= i < len(self.offsets) - 1 and self.offsets[i] < self.offsets[i + 1]).decode()
@@ -207,25 +223,50 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+class Memo(dict):
+    """Values by key, made on demand; when full, what hasn't been asked for since the last time goes."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+@functools.lru_cache(maxsize=2)
+def coded_chunks(path: str) -> Memo:
+    """(ids as bytes, pieces joined by spaces) of chunks and special ids, kept as long as the worker lives."""
     vocab = vocabulary(path)
-    memo: dict[str, tuple[bytes, bytes]] = {}
+    words = Memo(vocab.encode_word, MEMO_SIZE)
 
     def coded(chunk: str | int) -> tuple[bytes, bytes]:
-        ids = [chunk] if isinstance(chunk, int) else [i for w in vocab.words(chunk) for i in vocab.encode_word(w)]
-        pair = (struct.pack(f"<{len(ids)}I", *ids), b" ".join(map(vocab.piece, ids)))
-        if not isinstance(chunk, int) and len(chunk) <= MEMO_CHUNK:
-            if len(memo) >= MEMO_SIZE:
-                memo.clear()
-            memo[chunk] = pair
-        return pair
+        if isinstance(chunk, int):
+            ids = [chunk]
+        elif len(chunk) > MEMO_CHUNK:
+            ids = [i for w in vocab.words(chunk) for i in vocab.encode_word(w)]
+        else:
+            ids = [i for w in vocab.words(chunk) for i in words[w]]
+        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([vocab.pieces[i] for i in ids])
 
+    return Memo(coded, MEMO_SIZE)
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    vocab, memo = vocabulary(path), coded_chunks(path)
     for batch in batches:
         counts, ids_sha, text_sha = [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
             simple = "<|" not in text and not any(c in text for c in ODD_GAPS)
-            pairs = [memo.get(c) or coded(c) for c in (text.split() if simple else vocab.chunks(text))]
+            pairs = [memo[c] for c in (text.split() if simple else vocab.chunks(text))]
             ids = b"".join([p[0] for p in pairs])
             counts.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.bpe import MEMO_CHUNK, MEMO_SIZE, ODD_GAPS, vocabulary
+from modeloom.llm.bpe import MEMO_CHUNK, ODD_GAPS, vocabulary
 
+#: Chunks whose counts a worker keeps; the memo is emptied when full.
+MEMO_SIZE = 1_000_000
 #: Symbols that are merged together at once; more words wait for the next round.
 ROUND_SYMBOLS = 2_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -75,15 +77,15 @@ class Merger:
         return out
 
 
-@functools.lru_cache(maxsize=4)
-def merger(path: str) -> Merger:
-    return Merger(path)
+@functools.lru_cache(maxsize=2)
+def merger(path: str) -> tuple[Merger, dict[str, int]]:
+    """Merge tables, and counts of chunks, kept as long as the worker lives."""
+    return Merger(path), {}
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    m = merger(path)
+    m, memo = merger(path)
     vocab = m.vocab
-    memo: dict[str, int] = {}
     for batch in batches:
         texts = [t.as_py() or "" for t in batch.column(1)]
         cut = [t.split() if "<|" not in t and not any(c in t for c in ODD_GAPS) else list(vocab.chunks(t)) for t in texts]
