@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from modeloom.operators.frames import WHOLE, lengths, local, mirrored
+from modeloom.operators.frames import lengths, local, mirrored, whole
 
 
 def plateaus(signal: DataFrame) -> DataFrame:
@@ -52,12 +52,11 @@ def parabolic_extrema(signal: DataFrame) -> DataFrame:
         "series_id", F.lag("x").over(by).alias("x0"), F.col("x").alias("x1"), F.lead("x").over(by).alias("x2"),
         F.lag("value").over(by).alias("y0"), F.col("value").alias("y1"), F.lead("value").over(by).alias("y2"),
     ).where("x0 is not null and x2 is not null and (y1 - y0) * (y2 - y1) < 0")
-    d = F.expr("(x0 - x1) * (x0 - x2) * (x1 - x2)")
-    a = F.expr("x2 * (y1 - y0) + x1 * (y0 - y2) + x0 * (y2 - y1)") / d
-    b = F.expr("x2 * x2 * (y0 - y1) + x1 * x1 * (y2 - y0) + x0 * x0 * (y1 - y2)") / d
-    c = F.expr("x1 * x2 * (x1 - x2) * y0 + x2 * x0 * (x2 - x0) * y1 + x0 * x1 * (x0 - x1) * y2") / d
-    at = -b / (2 * a)
-    return p.select("series_id", at.alias("at"), F.when(a < 0, "max").otherwise("min").alias("kind"), (c - b * b / (4 * a)).alias("value"))
+    # in coordinates of the middle sample: y1 + b u + a u * u
+    back, on = F.expr("(y1 - y0) / (x1 - x0)"), F.expr("(y2 - y1) / (x2 - x1)")
+    a = (on - back) / F.expr("x2 - x0")
+    b = (back * F.expr("x2 - x1") + on * F.expr("x1 - x0")) / F.expr("x2 - x0")
+    return p.select("series_id", (F.col("x1") - b / (2 * a)).alias("at"), F.when(a < 0, "max").otherwise("min").alias("kind"), (F.col("y1") - b * b / (4 * a)).alias("value"))
 
 
 def not_duplicate(signal: DataFrame) -> DataFrame:
@@ -118,7 +117,7 @@ def itd_baseline(signal: DataFrame, alpha: float = 0.5) -> DataFrame:
     parts = k.select("series_id", "kt", "kx", "kl", F.lead("kt").over(nxt).alias("nt"), F.lead("kx").over(nxt).alias("nx"), F.lead("kl").over(nxt).alias("nl"))
     packed = parts.select("series_id", F.col("kt").alias("t"), F.struct("kx", "kl", "nt", "nx", "nl").alias("k"))
     seen = signal.join(packed, ["series_id", "t"], "left")
-    last = seen.withColumn("k", F.last("k", ignorenulls=True).over(WHOLE.rowsBetween(W.unboundedPreceding, 0)))
+    last = seen.withColumn("k", F.last("k", ignorenulls=True).over(whole().rowsBetween(W.unboundedPreceding, 0)))
     span = F.col("k.nx") - F.col("k.kx")
     base = F.when(F.col("k.nt").isNull(), F.col("k.kl")).when(span == 0, F.col("k.kl")).otherwise(F.col("k.kl") + (F.col("k.nl") - F.col("k.kl")) / span * (F.col("value") - F.col("k.kx")))
     return last.select("series_id", "t", "value", base.alias("baseline")).withColumn("rotation", F.col("value") - F.col("baseline"))

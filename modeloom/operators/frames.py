@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 #: Samples of a chunk.
 CHUNK = 1 << 16
-WHOLE = W.partitionBy("series_id").orderBy("t")
+
+
+def whole():
+    """A window over a whole series, for what can't be cut into chunks."""
+    return W.partitionBy("series_id").orderBy("t")
 
 
 def halo(signal: DataFrame, before: int, after: int, size: int = CHUNK) -> DataFrame:

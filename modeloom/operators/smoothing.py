@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.operators.frames import lengths, local, mirrored, shifted
+from modeloom.operators.kernels.numeric import savgol_rows
 
 
 def simple_moving_average(signal: DataFrame, window_size: int = 2) -> DataFrame:
@@ -46,13 +46,6 @@ def gaussian_smoothing(signal: DataFrame, sigma: float = 2) -> DataFrame:
     return made.where((F.col("t") >= 0) & (F.col("t") < F.col("n"))).drop("n")
 
 
-def savgol_rows(window_length: int, poly_order: int) -> np.ndarray:
-    """Row i has the weights that fit a polynomial to a window and read it at sample i."""
-    x = np.arange(window_length) - window_length // 2
-    a = np.vander(x, poly_order + 1, increasing=True).astype(float)
-    return a @ np.linalg.pinv(a)
-
-
 def savgol_smoothing(signal: DataFrame, window_length: int = 11, poly_order: int = 2) -> DataFrame:
     """Least-squares polynomials over an odd window; at the ends, that of the last whole window."""
     fit, half, reach = savgol_rows(window_length, poly_order), window_length // 2, window_length - 1

@@ -165,9 +165,9 @@ def find_zero_crossings(spark, sf_dir):
 @query(
     "parabolic_extrema",
     f"""WITH {EVENTS}, d AS (SELECT series_id, t, value AS y1, lag(value) {WINDOW} AS y0, lead(value) {WINDOW} AS y2 FROM sig)
-SELECT series_id, round(t + (y0 - y2) / (2 * (y0 - 2 * y1 + y2)), 7) + 0.0::DOUBLE AS at, CASE WHEN y1 > y0 THEN 'max' ELSE 'min' END AS kind,
-round(y1 - (y0 - y2) * (y0 - y2) / (8 * (y0 - 2 * y1 + y2)), 7) + 0.0::DOUBLE AS value FROM d WHERE (y1 - y0) * (y2 - y1) < 0""",
-    places=7,
+SELECT series_id, round(t + (y0 - y2) / (2 * (y0 - 2 * y1 + y2)), 6) + 0.0::DOUBLE AS at, CASE WHEN y1 > y0 THEN 'max' ELSE 'min' END AS kind,
+round(y1 - (y0 - y2) * (y0 - y2) / (8 * (y0 - 2 * y1 + y2)), 6) + 0.0::DOUBLE AS value FROM d WHERE (y1 - y0) * (y2 - y1) < 0""",
+    places=6,
 )
 def parabolic_extrema(spark, sf_dir):
     return extrema.parabolic_extrema(signals.events_hourly(spark, sf_dir))

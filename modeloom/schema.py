@@ -1,14 +1,7 @@
-"""Schemas of the tables that operators take and return."""
+"""Schemas of the tables that operators take and return, as DDL."""
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-SIGNAL = _struct("series_id string, channel int, t bigint, value double")
-MODES = _struct("series_id string, mode int, role string, channel int, t bigint, value double")
-MODE_ATTR = _struct("series_id string, mode int, t bigint, inst_freq double, inst_amp double")
-SPECTRUM = _struct("series_id string, bin int, freq double, re double, im double, power double")
-GRID = _struct("image_id string, channel int, y int, x int, value double")
+SIGNAL = "series_id string, channel int, t bigint, value double"
+MODES = "series_id string, mode int, role string, channel int, t bigint, value double"
+MODE_ATTR = "series_id string, mode int, t bigint, inst_freq double, inst_amp double"
+SPECTRUM = "series_id string, bin int, freq double, re double, im double, power double"
+GRID = "image_id string, channel int, y int, x int, value double"
