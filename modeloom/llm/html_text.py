@@ -22,6 +22,8 @@ TOKEN = re.compile(
     r"((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)>",
     re.DOTALL,
 )
+#: A tag that the page's end cuts off; it is no text.
+UNENDED = re.compile(r"</?[a-zA-Z]")
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=$|[\s=/])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
 # HTML elements by their part in the layout.
@@ -108,7 +110,7 @@ def blocks(page: str) -> list[Block]:
     while True:
         m = TOKEN.search(page, at)
         if not m:
-            say(page[at:])
+            say(UNENDED.split(page[at:], maxsplit=1)[0])
             break
         say(page[at : m.start()])
         at = m.end()

@@ -1,0 +1,205 @@
+import hashlib
+import zlib
+from collections import Counter
+
+import pytest
+from tokenizers import Tokenizer
+
+from modeloom.llm import bpe, decontamination, licenses, pii, quality_model, quality_rules, simhash, substring_dedup, tagger, token_counts
+from modeloom.llm.registry import word_bpe_path
+from tests.llm import brute
+
+
+def rows(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_bpe_equals_library(odd, pairs, empty, spark):
+    lib = Tokenizer.from_file(word_bpe_path())
+    want = Counter()
+    for d, t in pairs:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        text = lib.decode(ids, skip_special_tokens=False)
+        want[d, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
+    got = bpe.encode_digests(odd, word_bpe_path())
+    assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert bpe.encode_digests(empty, word_bpe_path()).count() == 0
+    coded = bpe.encode(odd, word_bpe_path())
+    back = {tuple(r) for r in bpe.decode(coded, word_bpe_path()).collect()}
+    assert back == {(d, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for d, t in pairs}
+
+
+def test_token_counts_equal_library(odd, pairs, empty):
+    lib = Tokenizer.from_file(word_bpe_path())
+    want = Counter()
+    for d, t in pairs:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        want[d, len((t or "").encode()), n, n > 2048] += 1
+    assert rows(token_counts.token_counts(odd, word_bpe_path()), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.token_counts(empty, word_bpe_path()).count() == 0
+
+
+def test_quality_rules(odd, pairs, empty):
+    got = quality_rules.quality(odd)
+    want = Counter((d, *brute.quality(t)) for d, t in pairs)
+    assert rows(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert kept[1] and kept[5] and not kept[6] and not kept[7] and not kept[12] and not kept[20]
+    assert quality_rules.quality(empty).count() == 0
+
+
+def test_rule_order_never_changes_verdicts(odd):
+    a = quality_rules.quality(odd, quality_rules.RULES)
+    b = quality_rules.quality(odd, quality_rules.RULES[::-1])
+    assert rows(a, "doc_id", "kept") == rows(b, "doc_id", "kept")
+
+
+def test_licenses(odd, pairs, empty):
+    got = licenses.license_scan(odd)
+    want = Counter((d, *brute.licenses(t)) for d, t in pairs)
+    assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[15].labels == "mit" and by[15].score == 1.0 and by[6].labels == "" and by[6].score == 0.0
+    assert licenses.license_scan(empty).count() == 0
+
+
+def test_license_template_with_altered_words(spark):
+    t = licenses.TEMPLATES[3]
+    words = list(t.words)
+    words[2], words[-1] = "thereby", "limitation"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:6]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert got[1].labels == "mit" and 0.8 <= got[1].score < 1 and got[2].labels == ""
+
+
+BENCH = [(1, "the weird gaps"), (2, ""), (3, None), (4, "!!"), (5, "one"), (1, "again the same id with more than ten words in all of its text"), (7, "two words")]
+
+
+def test_decontamination(odd, pairs, empty, spark):
+    long = next(t for d, t in pairs if d == 10).split()
+    items = [*BENCH, (8, " ".join(long[500:540])), (9, " ".join(long[520:531]).upper()), (10, " ".join(long[100:109])), (11, "ab ab ab ab ab ab ab ab ab ab ab")]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as w", "2 as content")
+    got = decontamination.contamination(odd, bench)
+    want = Counter((d, *brute.contamination(t, items)) for d, t in pairs)
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert decontamination.contamination(empty, bench).count() == 0
+    none = decontamination.contamination(odd, bench.limit(0))
+    assert none.where("contaminated").count() == 0 and none.count() == len(pairs)
+
+
+@pytest.mark.parametrize("tile_rows", [None, 3])
+def test_simhash(odd, pairs, empty, tile_rows):
+    got = simhash.near_duplicates(odd, tile_rows=tile_rows)
+    prints = [(d, brute.fingerprint(t)) for d, t in pairs]
+    want = Counter((d, f"{f:016x}", c) for (d, f), c in zip(prints, brute.components(prints), strict=True))
+    assert rows(got, "doc_id", "fingerprint", "component_id") == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_chains_and_hubs(spark):
+    # chains of near fingerprints, which only components join, and a hub with many near ones
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    fps = [int(x) for x in rng.integers(0, 2**63, 40)]
+    for k in range(30):
+        fps.append(fps[-1] ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))))
+    fps += [fps[0] ^ (1 << i) for i in range(40)]
+    distinct = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    from modeloom.llm.components import connected_components
+
+    stars = {r.node: r.root for r in connected_components(simhash.links(distinct, 4, 16)).collect()}
+    rows_ = sorted(set(fps))
+    want = brute.components([(f, f) for f in rows_])
+    assert [stars.get(f, f) for f in rows_] == want
+
+
+def test_personal_data_base_spans(odd, pairs, empty):
+    got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find_pii(odd).collect()}
+    want = set()
+    for d, t in pairs:
+        base = brute.personal(t)
+        listed = ",".join(f"{k}:{a}:{b}" for k, spans in base.items() for a, b in spans)
+        want.add((d, *(len(base[k]) for k in ("email", "ip", "card", "phone")), hashlib.sha256(listed.encode()).hexdigest()))
+    assert got == want
+    spans = {r.doc_id: r.spans for r in pii.find_pii(odd).collect()}
+    assert "secret:" in spans[17] and spans[1] == ""
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_redaction(odd, empty):
+    by = {r.doc_id: r for r in pii.redact(odd).collect()}
+    assert by[17].text.startswith("mail <EMAIL> and <IP>, <CARD> or <PHONE>! password=<SECRET> ") and by[17].n_chars == len(by[17].text)
+    assert by[6].text is None and pii.redact(empty).columns == empty.columns
+
+
+def test_tagger_gradients_and_accuracy():
+    import numpy as np
+
+    model = tagger.Tagger(1, hidden=3, embedded=2, dtype=np.float64)
+    ids, tags = (a[:, :7] for a in tagger.labelled_windows(3, 5))
+    _, grad = model.loss(ids, tags)
+    for name, p in model.p.items():
+        flat = p.reshape(-1)
+        for i in range(0, flat.size, max(1, flat.size // 5)):
+            old, step = flat[i], 1e-5
+            flat[i] = old + step
+            up = model.loss(ids, tags)[0]
+            flat[i] = old - step
+            down = model.loss(ids, tags)[0]
+            flat[i] = old
+            assert abs((up - down) / (2 * step) - grad[name].reshape(-1)[i]) < 1e-6
+    ids, tags = tagger.labelled_windows(300, 99)
+    found = tagger.trained().decode(ids)
+    assert (found == tags)[tags > 0].mean() > 0.93 and (found == tags).mean() > 0.97
+
+
+def test_substring_dedup(odd, pairs, empty):
+    got = substring_dedup.substring_dedup(odd)
+    assert got.count() == len(pairs)
+    by = {r.doc_id: r for r in got.collect()}
+    passage = next(t for d, t in pairs if d == 13).split("\n")
+    assert by[13].text == next(t for d, t in pairs if d == 13) and by[13].n_removed == 0
+    lost = next(t for d, t in pairs if d == 14)
+    assert by[14].n_removed > 0 and by[14].n_words_removed >= 50 and len(by[14].text) < len(lost)
+    assert passage and by[2].text == "" and by[1].n_removed == 0 and by[6].text is None and by[7].text == ""
+    assert by[10].n_removed == 0 and by[15].n_removed == 0
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_sentences_cover_the_text(pairs):
+    for _, t in pairs:
+        assert "".join((t or "")[a:b] for a, b in substring_dedup.sentences(t or "")) == (t or "")
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    pool = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(3, 9))) + "." for _ in range(25)]
+    docs = [(i, " ".join(r.choice(pool) for _ in range(r.randint(1, 9)))) for i in range(60)]
+    seen, gone = {}, {}
+    runs = [(i, a, b, h) for i, t in docs for _, f, p, hs in [substring_dedup.runs(t, 12)] for a, b, h in zip(f, p, hs, strict=True)]
+    for i, a, _, h in sorted(runs, key=lambda x: (x[0], x[1])):
+        seen.setdefault(int(h), (i, int(a)))
+    for i, a, b, h in runs:
+        if seen[int(h)] != (i, int(a)):
+            gone.setdefault(i, set()).update(range(a, b))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()}
+    assert got == {i: len(gone.get(i, ())) for i, _ in docs}
+
+
+def test_quality_model(odd, pairs, empty, spark):
+    good = [(1000 + i, t) for i, (_, t) in enumerate(p for p in pairs if p[1] and 200 < len(p[1]) < 2000) for _ in range(1)]
+    bad = [(2000 + i, "### $$$ %%% " * (5 + i)) for i in range(20)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(good + bad, "doc_id long, text string"))
+    labels = spark.createDataFrame([(d, int(d < 2000), 0) for d, _ in good + bad] + [(None, 1, 0), (1, None, 0), (2001, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality_model.quality_scores(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    score = {r.doc_id: r.score for r in got}
+    assert min(score[d] for d, _ in good) > max(score[d] for d, _ in bad)
+    blank = quality_model.quality_scores(odd, labels.limit(0)).collect()
+    assert len(blank) == len(pairs) and {r.score for r in blank} == {0.5}
+    assert quality_model.quality_scores(empty, labels).count() == 0
