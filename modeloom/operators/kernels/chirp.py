@@ -161,12 +161,14 @@ def osd(x, parts=(("smooth", 1e4), ("flat", 1.0)), max_iter: int = 100, tol: flo
     """
     x = np.asarray(x, float)
     known = ~np.isnan(x)
-    y = np.where(known, x, 0.0)
+    at = np.arange(len(x))
+    y = np.interp(at, at[known], x[known]) if known.any() else np.zeros(len(x))
     rows = np.zeros((len(parts), len(x)))
-    for _ in range(max_iter):
+    for sweep in range(max_iter):
         before = rows.copy()
         for k, (kind, weight) in enumerate(parts):
-            target = np.where(known, y - rows.sum(0) + rows[k], rows[k])
+            # the first sweep starts from interpolated gaps, later ones leave them to the parts
+            target = np.where(known | (sweep == 0), y - rows.sum(0) + rows[k], rows[k])
             rows[k] = curve_prox(target, kind, weight)
         if ((rows - before) ** 2).sum() < tol * max((rows**2).sum(), 1e-300):
             break

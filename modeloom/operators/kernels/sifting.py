@@ -392,10 +392,10 @@ def iterative_filtering(x, xi: float = 1.6, delta: float = 0.001, max_imfs: int
         if size >= n:
             break
         f = double_filter(2 * size)
-        f = f[:n] if len(f) > n else f
+        # wrapped around the period, so that its gains stay between 0 and 1
         kernel = np.zeros(n)
-        kernel[: len(f)] = f
-        gain = np.fft.rfft(np.roll(kernel, -(len(f) // 2))).real
+        np.add.at(kernel, (np.arange(len(f)) - len(f) // 2) % n, f)
+        gain = np.fft.rfft(kernel).real
         spectrum, keep = np.fft.rfft(rest), 1 - gain
         h = spectrum
         for _ in range(max_inner):
@@ -420,7 +420,7 @@ def alif(x, xi: float = 1.6, delta: float = 0.0001, max_imfs: int = 10, max_inne
             break
         gap = np.diff(k).astype(float)
         width = np.interp(at, (k[1:] + k[:-1]) / 2, gap)
-        width = np.maximum(2.0, xi * _moving_mean(width, max(3, int(gap.mean()))) * 2)
+        width = np.clip(xi * _moving_mean(width, max(3, int(gap.mean()))) * 2, 2.0, max(2.0, n / 2))
         reach = int(min(n - 1, np.ceil(width.max())))
         shifts = np.arange(-reach, reach + 1)
         weights = np.maximum(0.0, 1 + np.cos(np.pi * np.clip(shifts[None] / width[:, None], -1, 1)))
@@ -429,6 +429,8 @@ def alif(x, xi: float = 1.6, delta: float = 0.0001, max_imfs: int = 10, max_inne
         for _ in range(max_inner):
             wide = np.lib.stride_tricks.sliding_window_view(np.pad(h, reach, mode="symmetric"), 2 * reach + 1)
             mean = (wide * weights).sum(1)
+            if ((h - mean) ** 2).sum() > (rest**2).sum():
+                break  # unequal widths can make a step grow
             h = h - mean
             if (mean**2).sum() < delta * (h**2).sum():
                 break

@@ -86,7 +86,14 @@ def ovmd(x, alpha: float = 100.0, K: int = 5, tau: float = 0.0, tol: float = 1e-
     """VMD whose bandwidth grows with frequency and whose modes are made orthogonal where they overlap; in order of energy."""
     x = np.asarray(x, float)
     f, freq, half = _spectrum(x)
-    w = _centres(K, "uniform", 0, False) + 0.5 / (2 * K)
+    # the highest peaks of the spectrum are the first centres
+    size = np.abs(f)
+    peaks = np.flatnonzero((size[1:-1] > size[:-2]) & (size[1:-1] >= size[2:])) + 1
+    near: list[float] = []
+    for i in peaks[np.argsort(-size[peaks], kind="stable")]:
+        if len(near) < K and all(abs(freq[i] - c) > 4 / len(x) for c in near):
+            near.append(float(freq[i]))
+    w = np.array([*near, *(0.5 * (k + 0.5) / K for k in range(len(near), K))])
     u = np.zeros((K, len(f)), complex)
     dual = np.zeros_like(f)
     for _ in range(max_iter):
