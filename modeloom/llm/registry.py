@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modeloom.llm import bpe, decontamination, html_text, licenses, pii, quality_model, quality_rules, simhash, substring_dedup, token_counts
+from modeloom.llm import bpe, decontamination, html_text, licenses, pii, quality_model, quality_rules, simhash, sql, substring_dedup, token_counts
 from modeloom.llm._io import table
 
 
@@ -62,7 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_model, op7_pii, op8_decontamination, op9_html_text, op10_token_counts,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
