@@ -16,7 +16,7 @@ HIDDEN, EMBEDDED = 20, 12
 #: Printable ASCII has ids from 3; 0 pads, 1 is any letter beyond ASCII, 2 anything else.
 CHARS = 3 + 95
 #: Labelled windows made for training, passes over them, and windows of an update.
-TRAIN_WINDOWS, EPOCHS, BATCH = 1_600, 22, 160
+TRAIN_WINDOWS, EPOCHS, BATCH = 1_200, 12, 60
 
 
 def char_ids(text: str) -> np.ndarray:
