@@ -79,3 +79,26 @@ def correlated_kurtosis(signal: DataFrame, period: int, shifts: int = 2) -> Data
 
     made = local(signal, period * shifts, 0, p=product)
     return made.groupBy("series_id").agg((F.sum(F.col("p") ** 2) / F.pow(F.sum(F.col("value") ** 2), F.lit(shifts + 1.0))).alias("ck"))
+
+
+def convolution(left: DataFrame, kernel: tuple[float, ...]) -> DataFrame:
+    """(series_id, t, value): the full convolution of every series with a short kernel, t from 0."""
+    taps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(k)).alias("k")) for i, k in enumerate(kernel)]))
+    parts = left.select("series_id", "t", "value", taps.alias("tap"))
+    return parts.groupBy("series_id", (F.col("t") + F.col("tap.i")).alias("t")).agg(F.sum(F.col("value") * F.col("tap.k")).alias("value"))
+
+
+def lag_kernel(signal: DataFrame, lags: int, width: float) -> DataFrame:
+    """(series_id, i, j, value): Gaussian kernel between the trajectory matrix's columns, doubly centred."""
+    inner = lag_covariance(signal, lags)
+    own = inner.where("i = j").select("series_id", F.col("i").alias("k"), F.col("value").alias("s"))
+    d = (
+        inner.join(own.select("series_id", F.col("k").alias("i"), F.col("s").alias("si")), ["series_id", "i"])
+        .join(own.select("series_id", F.col("k").alias("j"), F.col("s").alias("sj")), ["series_id", "j"])
+        .select("series_id", "i", "j", F.exp(-(F.col("si") + F.col("sj") - 2 * F.col("value")) / (2 * width * width)).alias("k"))
+    )
+    rows = d.groupBy("series_id", "i").agg(F.avg("k").alias("ri"))
+    columns = rows.select("series_id", F.col("i").alias("j"), F.col("ri").alias("rj"))
+    whole = d.groupBy("series_id").agg(F.avg("k").alias("m"))
+    centred = d.join(rows, ["series_id", "i"]).join(columns, ["series_id", "j"]).join(whole, "series_id")
+    return centred.select("series_id", "i", "j", (F.col("k") - F.col("ri") - F.col("rj") + F.col("m")).alias("value"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators.kernels import chirp, seasonal, sifting, spectral, variational
+from modeloom.operators.kernels import chirp, fields, seasonal, sifting, spectral, variational
 from modeloom.operators.kernels.numeric import analytic
 from modeloom.schema import MODES
 
@@ -33,6 +33,11 @@ def _jmd(x, **p):
     return np.concatenate([modes, jump[None]]), "jump"
 
 
+def _sjmd(x, **p):
+    modes, jump, _ = fields.sjmd(x, **p)
+    return np.concatenate([modes, jump[None]]), "jump"
+
+
 def _stl(x, **p):
     return seasonal.stl(x, **p)[0], "residue"
 
@@ -48,11 +53,13 @@ KERNELS: dict[str, Callable] = {
     "fmd": lambda x, **p: (spectral.fmd(x, **p), None), "swd": _rows(spectral.swd), "imd": _rows(spectral.imd),
     "stl": _stl, "mstl": _rows(seasonal.mstl),
     "acmd": _first(chirp.acmd), "incmd": _first(chirp.incmd), "gdmd": _first(chirp.gdmd), "osd": _rows(chirp.osd),
+    "tvf_emd": _rows(fields.tvf_emd), "apmd": _rows(fields.apmd), "sjmd": _sjmd, "ba_acmd": _first(fields.ba_acmd), "dd_acmd": _first(fields.dd_acmd),
+    "stnbmd": lambda x, **p: (fields.stnbmd(x, **p)[0].real, None), "vtfmtd": _first(fields.vtfmtd),
 }
 #: Kernels of (C, T), which return (K, C, T).
 MULTI: dict[str, Callable] = {
     "memd": _rows(sifting.memd), "apitmemd": _rows(lambda x, adapt=0.3, **p: sifting.memd(x, adapt=adapt, **p)), "semd": _rows(sifting.semd),
-    "mvmd": _first(variational.mvmd), "faemd": _rows(sifting.faemd), "stvmd": _first(variational.stvmd), "mjmd": _jmd,
+    "nstemd": _rows(fields.nstemd), "mvmd": _first(variational.mvmd), "faemd": _rows(sifting.faemd), "stvmd": _first(variational.stvmd), "mjmd": _jmd,
 }
 MULTI["faemd_channels"] = MULTI["faemd"]
 
@@ -172,18 +179,86 @@ def dtw(pairs: DataFrame, window: int | None = None) -> DataFrame:
     return pairs.select("id", "other_id", distance("x", "y").alias("distance"))
 
 
+IMAGE_KERNELS: dict[str, Callable] = {
+    "vmd2d": lambda a, **p: variational.vmd2d(a, **p)[0], "ewt2d": spectral.ewt2d, "emd2d": fields.emd2d, "faemd2d": fields.faemd_field, "cvmd2d": lambda a, **p: fields.cvmd2d(a, **p)[0],
+}
+
+
+def _grid(pdf: pd.DataFrame, axes: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Values as an array over the sorted coordinates of all axes; every cell must be there."""
+    pdf = pdf.sort_values(axes, kind="stable")
+    at = [np.sort(pdf[a].unique()) for a in axes]
+    return pdf["value"].to_numpy(float).reshape([len(a) for a in at]), at
+
+
+def _cells(name, id_column: str, modes: np.ndarray, axes: list[str], at: list[np.ndarray]) -> pd.DataFrame:
+    index = np.meshgrid(np.arange(len(modes)), *at, indexing="ij")
+    return pd.DataFrame({id_column: name, "mode": index[0].ravel(), **{a: i.ravel() for a, i in zip(axes, index[1:], strict=True)}, "value": modes.ravel()})
+
+
 def decompose_images(images: DataFrame, algorithm: str, **params) -> DataFrame:
-    """(image_id, mode, y, x, value) of every image (image_id, y, x, value) by ``vmd2d`` or ``ewt2d``."""
-    kernel = {"vmd2d": lambda a, **p: variational.vmd2d(a, **p)[0], "ewt2d": spectral.ewt2d}[algorithm]
+    """(image_id, mode, y, x, value) of every image (image_id, y, x, value)."""
+    kernel = IMAGE_KERNELS[algorithm]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="y", columns="x", values="value")
-        modes = kernel(grid.to_numpy(float), **params)
-        k, h, w = modes.shape
-        return pd.DataFrame({
-            "image_id": pdf["image_id"].iloc[0], "mode": np.repeat(np.arange(k), h * w),
-            "y": np.tile(np.repeat(grid.index.to_numpy(), w), k), "x": np.tile(grid.columns.to_numpy(), k * h), "value": modes.reshape(-1),
-        })
+        grid, at = _grid(pdf, ["y", "x"])
+        return _cells(pdf["image_id"].iloc[0], "image_id", kernel(grid, **params), ["y", "x"], at)
 
     kind = dict(images.dtypes)["image_id"]
     return images.select("image_id", "y", "x", "value").groupBy("image_id").applyInPandas(run, f"image_id {kind}, mode int, y int, x int, value double")
+
+
+def decompose_stacks(stacks: DataFrame, **params) -> DataFrame:
+    """(image_id, mode, channel, y, x, value) of every stack (image_id, channel, y, x, value), its channels sifted together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, at = _grid(pdf, ["channel", "y", "x"])
+        return _cells(pdf["image_id"].iloc[0], "image_id", fields.bmemd(grid, **params), ["channel", "y", "x"], at)
+
+    kind = dict(stacks.dtypes)["image_id"]
+    chosen = stacks.select("image_id", "channel", "y", "x", "value")
+    return chosen.groupBy("image_id").applyInPandas(run, f"image_id {kind}, mode int, channel int, y int, x int, value double")
+
+
+def decompose_volumes(volumes: DataFrame, **params) -> DataFrame:
+    """(vol_id, mode, z, y, x, value) of every volume (vol_id, z, y, x, value)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, at = _grid(pdf, ["z", "y", "x"])
+        return _cells(pdf["vol_id"].iloc[0], "vol_id", fields.faemd_field(grid, **params), ["z", "y", "x"], at)
+
+    kind = dict(volumes.dtypes)["vol_id"]
+    return volumes.select("vol_id", "z", "y", "x", "value").groupBy("vol_id").applyInPandas(run, f"vol_id {kind}, mode int, z int, y int, x int, value double")
+
+
+def transform(signal: DataFrame, kind: str = "fft") -> DataFrame:
+    """(series_id, bin, re, im) of whole series by FFT: kind is fft, ifft (of real values), or hilbert, the analytic signal by sample."""
+    how = {"fft": np.fft.fft, "ifft": np.fft.ifft, "hilbert": analytic}[kind]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = how(pdf.sort_values("t", kind="stable")["value"].to_numpy(float))
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "bin": np.arange(len(z)), "re": z.real, "im": z.imag})
+
+    return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, bin bigint, re double, im double")
+
+
+def prewhiten(signal: DataFrame, order: int = 100) -> DataFrame:
+    """(series_id, t, value): what an autoregression of the given order, fitted by Yule and Walker's equations, doesn't foresee."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        x = pdf["value"].to_numpy(float)
+        x = x - x.mean()
+        p = min(order, len(x) - 1)
+        r = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * len(x))) ** 2)[: p + 1] / max(len(x), 1)
+        system = r[np.abs(np.arange(p)[:, None] - np.arange(p)[None])] + 1e-9 * (r[0] if p else 0) * np.eye(p)
+        a = np.linalg.solve(system, r[1:]) if p else np.zeros(0)
+        return pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "value": np.convolve(x, np.r_[1.0, -a])[: len(x)]})
+
+    return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, t bigint, value double")
+
+
+def algorithms(spark) -> DataFrame:
+    """(name, kind) of every algorithm that can be named."""
+    rows = [(k, "signal") for k in KERNELS] + [(k, "channels") for k in MULTI] + [(k, "image") for k in IMAGE_KERNELS] + [("bmemd", "stack"), ("faemd3d", "volume"), ("eemd", "ensemble"), ("vncmd", "joint"), ("online_emd", "stream")]
+    return spark.createDataFrame(rows, "name string, kind string")

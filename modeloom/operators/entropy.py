@@ -105,3 +105,23 @@ def orthogonality_index(modes: DataFrame) -> DataFrame:
     """
     per = modes.groupBy("series_id", "t").agg(F.sum(F.abs("value")).alias("a"), F.sum(F.col("value") ** 2).alias("s"), F.sum("value").alias("x"))
     return per.groupBy("series_id").agg((F.sum((F.col("a") ** 2 - F.col("s")) / 2) / F.sum(F.col("x") ** 2)).alias("io"))
+
+
+def multiscale_sample_entropy(signal: DataFrame, m: int = 2, r: float = 0.15, tau: int = 1) -> DataFrame:
+    """(series_id, entropy, a, b): log of the share of matches, strictly within r sample deviations of the series, of its means over tau samples (the last filled up with zeros)."""
+    grouped = signal.groupBy("series_id", F.floor(F.col("t") / tau).alias("t")).agg((F.sum("value") / tau).alias("value"))
+    radius = signal.groupBy("series_id").agg((F.stddev_samp("value") * r).alias("r"))
+    b = _matches(grouped, m, radius, True).withColumnRenamed("c", "b")
+    a = _matches(grouped, m + 1, radius, True).withColumnRenamed("c", "a")
+    met = radius.select("series_id").join(b, "series_id", "left").join(a, "series_id", "left").fillna(0, ["a", "b"])
+    return met.select("series_id", F.when((F.col("a") > 0) & (F.col("b") > 0), F.log(F.col("b") / F.col("a"))).alias("entropy"), "a", "b")
+
+
+def segment_sparsity(signal: DataFrame, segments: int = 10, exponent: float = -10.0, p: float = 2.0, q: float = 1.0) -> DataFrame:
+    """(series_id, sparsity): the generalised mean, of the given exponent, of the segments' p-means over q-means."""
+    n = signal.groupBy("series_id").agg(F.count("*").alias("n"))
+    part = F.floor(F.col("t") * segments / F.col("n")).alias("part")
+    x = F.abs("value")
+    ratio = F.pow(F.avg(F.pow(x, F.lit(p))), F.lit(1 / p)) / F.pow(F.avg(F.pow(x, F.lit(q))), F.lit(1 / q))
+    each = signal.join(n, "series_id").groupBy("series_id", part).agg(ratio.alias("r"))
+    return each.groupBy("series_id").agg(F.pow(F.avg(F.pow("r", F.lit(exponent))), F.lit(1 / exponent)).alias("sparsity"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modeloom.operators.frames import local, shifted
@@ -65,3 +66,16 @@ def snr(pairs: DataFrame) -> DataFrame:
     mu = pairs.groupBy("series_id").agg(F.avg("clean").alias("mu"))
     ratio = F.sum((F.col("clean") - F.col("mu")) ** 2) / F.sum((F.col("clean") - F.col("estimate")) ** 2)
     return pairs.join(mu, "series_id").groupBy("series_id").agg((10 * F.log10(ratio)).alias("snr"))
+
+
+def rayleigh_inverse(probabilities: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Adds x, the value that a Rayleigh variable stays below with probability p."""
+    return probabilities.withColumn("x", F.lit(scale) * F.sqrt(-2 * F.log(1 - F.col("p"))))
+
+
+def normalize_time(signal: DataFrame) -> DataFrame:
+    """(series_id, time, scaled): times from the first one on, in units of the smallest step."""
+    w = W.partitionBy("series_id").orderBy("time")
+    steps = signal.select("series_id", "time", (F.lead("time").over(w) - F.col("time")).alias("step"))
+    stats = steps.groupBy("series_id").agg(F.min("time").alias("first"), F.min("step").alias("unit"))
+    return signal.select("series_id", "time").join(stats, "series_id").select("series_id", "time", ((F.col("time") - F.col("first")) / F.col("unit")).alias("scaled"))

@@ -33,6 +33,9 @@ FORMS = {
     "three_tones": lambda t: 4 / PI * (F.sin(2 * PI * 10 * t) + F.sin(2 * PI * 30 * t) / 3 + F.sin(2 * PI * (50 * t + 20 * t * t)) / 2),
     "nested": lambda t: 3 * F.pow(F.lit(2.0), -t) * F.sin(F.sin(2 * PI * t)) + F.cos(2 * PI * 5 * t) + F.sin(2 * PI * (t + 2 * t * t)) + F.sin(2 * PI * 30 * t),
     "two_tones": lambda t: F.cos(2 * PI * 5 * t) + 0.5 * F.cos(2 * PI * 24 * t),
+    "gauss_am_quadratic_fm": lambda t: F.exp(-((t - 3) ** 2) / 2) * F.cos(2 * PI * (2 * t + 0.8 * t * t)) + F.cos(2 * PI * t),
+    "cubic_quadratic": lambda t: F.cos(2 * PI * (4 * t + 0.1 * t**3)) + 0.5 * F.cos(2 * PI * (t + 0.2 * t * t)),
+    "nonlinear_chirps": lambda t: F.cos(2 * PI * (40 * t + 20 * t * t)) + F.cos(2 * PI * (120 * t + 10 * F.sin(2 * PI * t))),
     "linear_chirp": lambda t, f0=5.0, t1=1.0, f1=20.0: _chirp(t, f0, t1, f1),
 }
 
@@ -67,3 +70,75 @@ def generate_cube(spark: SparkSession, low: float = 0.0, high: float = 10.0, sam
     z, y, x = F.floor(F.col("id") / (n * n)), F.floor(F.col("id") / n) % n, F.col("id") % n
     value = F.sin(low + x * step) + F.cos(low + y * step) * F.sin(low + z * step)
     return spark.range(n**3).select(F.lit("cube").alias("vol_id"), z.cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"), value.alias("value"))
+
+
+def _recurrence(spark: SparkSession, name: str, duration: float, sampling_rate: int, step) -> DataFrame:
+    """A signal whose samples follow from those before, made by one task."""
+    import pandas as pd
+
+    n = int(duration * sampling_rate)
+
+    def run(frames):
+        for _ in frames:
+            values = step(n, 1 / sampling_rate)
+            yield pd.DataFrame({"series_id": name, "t": range(n), "time": [k / sampling_rate for k in range(n)], "value": values})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "series_id string, t bigint, time double, value double")
+
+
+def duffing(spark: SparkSession, duration: float = 6.0, sampling_rate: int = 128, damping: float = 0.2, force: float = 0.3, rate: float = 1.0) -> DataFrame:
+    """A Duffing oscillator, x'' + damping x' - x + x^3 = force cos(rate t), by fourth-order Runge-Kutta steps."""
+
+    def step(n: int, dt: float) -> list[float]:
+        def slope(t, x, v):
+            return v, force * math.cos(rate * t) - damping * v + x - x**3
+
+        x, v, out = 1.0, 0.0, []
+        for k in range(n):
+            out.append(x)
+            t = k * dt
+            a = slope(t, x, v)
+            b = slope(t + dt / 2, x + dt / 2 * a[0], v + dt / 2 * a[1])
+            c = slope(t + dt / 2, x + dt / 2 * b[0], v + dt / 2 * b[1])
+            d = slope(t + dt, x + dt * c[0], v + dt * c[1])
+            x += dt / 6 * (a[0] + 2 * b[0] + 2 * c[0] + d[0])
+            v += dt / 6 * (a[1] + 2 * b[1] + 2 * c[1] + d[1])
+        return out
+
+    return _recurrence(spark, "duffing", duration, sampling_rate, step)
+
+
+def logistic_am(spark: SparkSession, duration: float = 6.0, sampling_rate: int = 128, growth: float = 3.9, carrier: float = 8.0) -> DataFrame:
+    """A carrier whose amplitude follows a logistic map, smoothed by a moving mean of eight samples."""
+
+    def step(n: int, dt: float) -> list[float]:
+        x, amps = 0.3, []
+        for _ in range(n + 8):
+            x = growth * x * (1 - x)
+            amps.append(x)
+        return [(1 + sum(amps[k : k + 8]) / 8) * math.cos(2 * PI * carrier * k * dt) for k in range(n)]
+
+    return _recurrence(spark, "logistic_am", duration, sampling_rate, step)
+
+
+def add_noise(signal: DataFrame, mean: float = 0.0, deviation: float = 1.0, seed: int = 42) -> DataFrame:
+    """``signal`` with Gaussian noise on its values."""
+    return signal.withColumn("value", F.col("value") + mean + deviation * F.randn(seed))
+
+
+def seasonal_series(spark: SparkSession, length: int = 300, periods: tuple[int, ...] = (10, 30, 50), harmonics: tuple[int, ...] = (3, 2, 2), seed: int = 42) -> DataFrame:
+    """A trend and harmonics of each period with amplitudes that fall with their order, and noise."""
+    t = F.col("id")
+    value = 0.01 * t
+    for p, k in zip(periods, harmonics, strict=True):
+        for h in range(1, k + 1):
+            value = value + F.sin(2 * PI * h * t / p + h) / h
+    return spark.range(length).select(F.lit("seasonal").alias("series_id"), t.alias("t"), (value + 0.1 * F.randn(seed)).alias("value"))
+
+
+def multichannel(spark: SparkSession, duration: float = 1.0, sampling_rate: int = 1000) -> DataFrame:
+    """(series_id, channel, t, value): two channels that share a tone of 36 Hz, beside tones of 2 and 24 Hz."""
+    time = F.col("id") / sampling_rate
+    shared = 0.25 * F.cos(2 * PI * 36 * time)
+    forms = F.array(F.cos(2 * PI * 2 * time) + shared, F.cos(2 * PI * 24 * time) + shared)
+    return spark.range(int(duration * sampling_rate)).select(F.lit("channels").alias("series_id"), F.col("id").alias("t"), F.posexplode(forms).alias("channel", "value")).select("series_id", "channel", "t", "value")

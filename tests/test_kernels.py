@@ -170,3 +170,38 @@ def test_dtw():
         for j in range(4):
             table[i + 1, j + 1] = abs(a[i] - b[j]) + min(table[i, j], table[i, j + 1], table[i + 1, j])
     assert spectral.dtw(a, b) == table[4, 4]
+
+
+def test_fields():
+    from modeloom.operators.kernels import fields
+
+    y, x = np.mgrid[:40, :40] / 40
+    image = np.cos(2 * np.pi * 8 * x) + np.cos(2 * np.pi * 2 * y)
+    for f in (fields.faemd_field, fields.emd2d):
+        modes = f(image)
+        assert np.allclose(modes.sum(0), image, atol=1e-8)
+    assert max(abs(np.corrcoef(m.ravel(), np.cos(2 * np.pi * 8 * x).ravel())[0, 1]) for m in fields.faemd_field(image)) > 0.95
+    stack = np.array([image[:16, :16], image[16:32, :16]])
+    assert np.allclose(fields.bmemd(stack, 4, 1, 2).sum(0), stack, atol=1e-8)
+    volume = np.random.default_rng(0).normal(size=(6, 7, 8))
+    assert np.allclose(fields.faemd_field(volume).sum(0), volume, atol=1e-8)
+    assert np.allclose(fields.faemd_field(np.ones((5, 5))).sum(0), 1)
+    assert np.allclose(fields.fuse(np.array([image, image])), image)
+
+
+def test_adaptive():
+    from modeloom.operators.kernels import fields
+
+    modes = fields.tvf_emd(TWO)
+    assert np.allclose(modes.sum(0), TWO, atol=1e-8) and best(modes, LOW) > 0.95 and best(modes, HIGH) > 0.95
+    x = np.array([TWO, LOW, HIGH])
+    assert np.allclose(fields.nstemd(x, 16, max_modes=3).sum(0), x, atol=1e-8)
+    _, jump, centres = fields.sjmd(TWO + (T > 0.5))
+    assert np.corrcoef(jump, T > 0.5)[0, 1] > 0.85 and min(abs(centres * 1000 - 24)) < 1
+    modes, freq = fields.stnbmd(TWO, (6, 23), 1000.0)
+    assert best(modes.real, LOW) > 0.95 and abs(freq[0].mean() - 5) < 0.25
+    assert best(fields.ba_acmd(TWO, 1000.0)[0], HIGH) > 0.95
+    assert best(fields.dd_acmd(TWO + 3 * T, 1000.0)[0], HIGH) > 0.95
+    fast = np.cos(2 * np.pi * 50 * T) + np.cos(2 * np.pi * 200 * T)
+    assert best(fields.vtfmtd(fast, (0.06, 0.19))[0], np.cos(2 * np.pi * 50 * T)) > 0.95
+    assert np.allclose(fields.apmd(fast).sum(0), fast, atol=1e-8)
