@@ -9,6 +9,7 @@ under all its other runs go.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,30 @@ from modeloom.llm._io import stage_table
 
 #: Words that a run has at least; the shortest runs of that many words are hashed.
 LEAST_WORDS = 20
+#: Words beyond which a sentence is cut, and one in how many words ends a piece.
+LONG, PICK = 30, 6
+WORD = re.compile(r"\S+")
 #: A sentence ends after marks before white space, or at a line's end.
 SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s)[^\n.!?]*+)*+(?:[.!?]++|\n|\Z)")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, which together cover it; white space after one belongs to the next."""
-    return [m.span() for m in SENTENCE.finditer(text) if m.end() > m.start()]
+    """(start, end) of the sentences of a text, which together cover it; white space after one belongs to the next.
+
+    A sentence of over LONG words is cut after words that a hash picks, about
+    one in PICK: a text without marks still has pieces that its copies share.
+    """
+    out = []
+    for m in SENTENCE.finditer(text):
+        at, end = m.span()
+        if end - at > 2 * LONG and len(m[0].split()) > LONG:
+            for w in WORD.finditer(text, at, end):
+                if zlib.crc32(w[0].lower().encode("utf-8", "surrogatepass")) % PICK == 0 and w.end() < end:
+                    out.append((at, w.end()))
+                    at = w.end()
+        if end > at:
+            out.append((at, end))
+    return out
 
 
 def runs(text: str, least: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
