@@ -77,38 +77,57 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= 4, windows(w)).otherwise(F.lit(0)))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``rejects`` is built from the columns text, words and n_words."""
+class Features:
+    """What rules ask of a text, as columns; those in ``known`` are already there."""
 
-    name: str
-    rejects: Callable[[], Column]
+    def __init__(self, text: Column, words: Column, **known: Column):
+        self.text, self.words, self.known = text, words, known
+
+    def of(self, name: str, make: Callable[[], Column]) -> Column:
+        return self.known[name] if name in self.known else make()
+
+    def n_words(self) -> Column:
+        return self.of("n_words", lambda: F.size(self.words))
+
+    def n_chars_without(self, chars: str) -> Column:
+        return F.char_length(without(self.text, chars))
+
+    def word_chars(self) -> Column:
+        return self.of("word_chars", lambda: self.n_chars_without(SPACES))
+
+    def n_symbols(self) -> Column:
+        return self.of("n_symbols", lambda: F.char_length(self.text) - self.n_chars_without(SYMBOLS))
 
+    def n_dup_lines(self) -> Column:
+        return self.of("n_dup_lines", lambda: n_dup_lines(self.text))
 
-def word_chars() -> Column:
-    return F.char_length(without(F.col("text"), SPACES))
+    def n_repeat_words(self) -> Column:
+        return self.of("n_repeat_words", lambda: n_repeat_words(self.words))
 
 
-def n_symbols() -> Column:
-    return F.char_length(F.col("text")) - F.char_length(without(F.col("text"), SYMBOLS))
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` says from a text's features whether it goes."""
+
+    name: str
+    rejects: Callable[[Features], Column]
 
 
 #: Rules beside the base ones. Words are never weighed by language or vocabulary, so no language is at a disadvantage.
 RULES = (
-    Rule("symbols", lambda: 100 * n_symbols() > 10 * F.col("n_words")),
-    Rule("shouting", lambda: 100 * (F.char_length("text") - F.char_length(without(F.col("text"), UPPER))) > 40 * word_chars()),
-    Rule("word_length", lambda: (word_chars() > 25 * F.col("n_words")) | (word_chars() < 2 * F.col("n_words"))),
-    Rule("dup_lines", lambda: 100 * n_dup_lines(F.col("text")) > 40 * F.size(F.split("text", "\n"))),
-    Rule("exclaiming", lambda: 100 * (F.char_length("text") - F.char_length(without(F.col("text"), "!?"))) > 40 * F.col("n_words")),
+    Rule("symbols", lambda f: 100 * f.n_symbols() > 10 * f.n_words()),
+    Rule("shouting", lambda f: 100 * (F.char_length(f.text) - f.n_chars_without(UPPER)) > 40 * f.word_chars()),
+    Rule("word_length", lambda f: let(f.word_chars(), lambda n: (n > 25 * f.n_words()) | (n < 2 * f.n_words()))),
+    Rule("dup_lines", lambda f: 100 * f.n_dup_lines() > 40 * F.size(F.split(f.text, "\n"))),
+    Rule("exclaiming", lambda f: 100 * (F.char_length(f.text) - f.n_chars_without("!?")) > 40 * f.n_words()),
 )
 #: Base rules: fewer than 50 words, or more than half of the words in repeated windows.
-FEW = Rule("few_words", lambda: F.col("n_words") < 50)
-REPEATS = Rule("repeats", lambda: 100 * n_repeat_words(F.col("words")) > 50 * F.col("n_words"))
+FEW = Rule("few_words", lambda f: f.n_words() < 50)
+REPEATS = Rule("repeats", lambda f: 100 * f.n_repeat_words() > 50 * f.n_words())
 
 
-def _prepared(docs: DataFrame, *more: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(*more, text, space_words(F.col("text")).alias("words")).select("*", F.size("words").alias("n_words"))
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
@@ -116,24 +135,25 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
 
     The sample is bounded (SAMPLE_ROWS) and only steers the order of work.
     """
-    sample = _prepared(docs.select("text").sample(SAMPLE_SHARE, seed=7).limit(SAMPLE_ROWS)).persist()
+    sample = docs.select("text").sample(SAMPLE_SHARE, seed=7).limit(SAMPLE_ROWS)
+    sample = sample.select(_text().alias("text"), space_words(F.col("text")).alias("words")).persist()
     try:
         total = max(1, sample.count())
         worth = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = sample.agg(F.count_if(rule.rejects())).first()[0]
+            rejected = sample.agg(F.count_if(rule.rejects(Features(F.col("text"), F.col("words"))))).first()[0]
             worth.append((rejected / total) / max(time.perf_counter() - began, 1e-3))
         return [r for _, r in sorted(zip(worth, rules, strict=True), key=lambda x: -x[0])]
     finally:
         sample.unpersist()
 
 
-def passes(rules: list[Rule]) -> Column:
+def passes(rules: list[Rule], features: Features) -> Column:
     """Whether no rule rejects; a rule is only asked if those before it don't reject."""
     verdict = F.lit(True)
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects(), F.lit(False)).otherwise(verdict)
+        verdict = F.when(rule.rejects(features), F.lit(False)).otherwise(verdict)
     return F.coalesce(verdict, F.lit(True))
 
 
@@ -145,29 +165,22 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows; columns other than doc_id and text are not read. No shuffle.
     """
     order = rule_order(docs, rules)
-    counted = _prepared(docs, "doc_id").select(
-        "doc_id", "text", "words",
-        F.col("n_words").cast("long").alias("n_words"),
-        word_chars().cast("long").alias("word_chars"),
-        n_symbols().cast("long").alias("n_symbols"),
-        n_dup_lines(F.col("text")).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(passes(order)).alias("kept"),
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    f = Features(F.col("text"), F.col("words"))
+    counted = docs.select("doc_id", _text().alias("text"), space_words(F.col("text")).alias("words")).select(
+        "doc_id", "text", "words", *[getattr(f, name)().cast("long").alias(name) for name in counts]
+    )
+    known = Features(F.col("text"), F.col("words"), **{name: F.col(name) for name in counts})
+    failed = FEW.rejects(known) | REPEATS.rejects(known)
+    return counted.select("doc_id", *counts, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(passes(order, known)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor ``rules`` reject, with all their columns."""
+    """The rows of ``docs`` that neither the base rules nor ``rules`` reject, with all their columns.
+
+    The words are bound once inside the condition, so no plan writes their
+    expression out for every rule.
+    """
     order = rule_order(docs, (FEW, *rules, REPEATS))
-    kept = let(
-        F.struct(F.coalesce(F.col("text"), F.lit("")).alias("text"), space_words(F.col("text")).alias("words")),
-        lambda s: s,
-    )
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), kept.alias("__t"))
-    prepared = named.select("__row", F.col("__t.text").alias("text"), F.col("__t.words").alias("words")).select("*", F.size("words").alias("n_words"))
-    return prepared.where(passes(order)).select("__row.*")
+    bound = F.struct(_text().alias("text"), space_words(F.col("text")).alias("words"))
+    return docs.where(let(bound, lambda s: passes(order, Features(s["text"], s["words"]))))
