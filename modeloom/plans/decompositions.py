@@ -45,11 +45,11 @@ for _name, _params in PARTIAL.items():
 
 def _channels(spark, sf_dir):
     """Three channels of each series: the signal, and it moved by one and by two samples."""
-    s = signals.events_hourly(spark, sf_dir).where("t < 300")
-    return s.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"), "t", "value").select("series_id", "channel", ((F.col("t") + F.col("channel")) % 300).alias("t"), "value")
+    s = signals.events_hourly(spark, sf_dir).where("t < 100")
+    return s.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"), "t", "value").select("series_id", "channel", ((F.col("t") + F.col("channel")) % 100).alias("t"), "value")
 
 
-CHANNELS = f"WITH {EVENTS} SELECT series_id, CAST(c AS INTEGER) AS channel, (t + c) % 300 AS t, round(value, 6) + 0.0::DOUBLE AS value FROM sig CROSS JOIN range(0, 3) r(c) WHERE t < 300"
+CHANNELS = f"WITH {EVENTS} SELECT series_id, CAST(c AS INTEGER) AS channel, (t + c) % 100 AS t, round(value, 6) + 0.0::DOUBLE AS value FROM sig CROSS JOIN range(0, 3) r(c) WHERE t < 100"
 for _name, _params in {"memd": {"n_dir": 16, "max_modes": 4, "max_iter": 10}, "apitmemd": {"n_dir": 16, "max_modes": 3, "max_iter": 8}, "nstemd": {"n_dir": 16, "max_modes": 3, "max_iter": 8}, "semd": {}, "faemd_channels": {}}.items():
     query(f"decompose_{_name}", CHANNELS)(
         lambda s, d, a=_name, p=_params: D.decompose(_channels(s, d), a, **p).groupBy("series_id", "channel", "t").agg(F.sum("value").alias("value"))

@@ -28,6 +28,10 @@ def canon(rows):
     return sorted((tuple(cell(x) for x in r) for r in rows), key=str)
 
 
+def quoted(name):
+    return f'"{name}"'
+
+
 def near(a, b):
     return len(a) == len(b) and all(math.isclose(x, y, abs_tol=2e-5, rel_tol=1e-9) if isinstance(x, float) and isinstance(y, float) else x == y for x, y in zip(a, b, strict=True))
 
@@ -42,7 +46,7 @@ def test_query(spark, duck, name):
         return
     rel = duck.sql(catalogue.ORACLES[name])
     assert sorted(rel.columns) == columns
-    want = canon(duck.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    want = canon(duck.sql(f"SELECT {', '.join(map(quoted, columns))} FROM ({catalogue.ORACLES[name]})").fetchall())
     assert len(got) == len(want)
     assert all(near(a, b) for a, b in zip(got, want, strict=True))
 
