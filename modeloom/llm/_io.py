@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,10 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not getattr(sc, "_own_shared_dir", None):
         sc._own_shared_dir = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, sc._own_shared_dir, ignore_errors=True)
         sc.setCheckpointDir(sc._own_shared_dir)
     return sc._own_shared_dir
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what stage_table has written in this process; for when all results that rest on it are written."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -35,6 +48,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -155,6 +155,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns.
+
+    Rows of the same doc_id are judged together, as are those without one.
+    """
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")

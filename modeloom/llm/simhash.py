@@ -216,7 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id, one row each, with all columns of ``docs``."""
+    """The rows of ``docs`` whose doc_id is its component's id, one row each, with all columns of ``docs``.
+
+    Rows without a doc_id can't be named as the one that stays, so they go.
+    """
     found = near_duplicates(docs, width, radius)
     stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
