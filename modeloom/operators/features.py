@@ -6,9 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def dot(x: Column | str, y: Column | str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+from modeloom.functions.arrays import dot
 
 
 def squared_distance(x: Column | str, y: Column | str) -> Column:
@@ -69,18 +67,35 @@ def pca(rows: DataFrame, n_components: int = 2) -> DataFrame:
     return rows.select("id", F.array(*[dot(centred, F.array(*map(F.lit, v.tolist()))) for v in vectors.T]).alias("pc"))
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """(other_id, ids, labels): the k rows of ``train`` nearest to each of a stated set of query rows; of equally near ones the smaller id.
+def _least(pairs: DataFrame, k: int) -> DataFrame:
+    """(other_id, n): the k least structs n of each other_id. Each task keeps its k first, so no query's rows meet in one task."""
+    best = pairs.groupBy("other_id", F.spark_partition_id().alias("part")).agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("n"))
+    return best.groupBy("other_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("n"))), 1, k).alias("n"))
+
+
+def _vote(least: DataFrame) -> DataFrame:
+    votes = least.select("other_id", F.explode("n.label").alias("label")).groupBy("other_id", "label").agg(F.count("*").alias("c"))
+    return votes.groupBy("other_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "label"))["label"].alias("label")).withColumnRenamed("other_id", "id")
+
 
-    Each task keeps k rows for a query, so no query's distances meet in one task.
-    """
+def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(other_id, n): the k rows of ``train`` nearest to each of a stated set of query rows, as structs d, id, label; of equally near ones the smaller id."""
     pairs = _against(train, queries).select("other_id", F.struct(squared_distance("features", "other").alias("d"), "id", "label").alias("n"))
-    best = pairs.groupBy("other_id", F.spark_partition_id().alias("part")).agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("n"))
-    met = best.groupBy("other_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("n"))), 1, k).alias("n"))
-    return met.select("other_id", F.col("n.id").alias("ids"), F.col("n.label").alias("labels"))
+    return _least(pairs, k)
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(id, label): the commonest label among the k nearest, of equally common ones the smallest."""
-    votes = nearest(queries, train, k).select("other_id", F.explode("labels").alias("label")).groupBy("other_id", "label").agg(F.count("*").alias("c"))
-    return votes.groupBy("other_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "label"))["label"].alias("label")).withColumnRenamed("other_id", "id")
+    return _vote(nearest(queries, train, k))
+
+
+def knn_dtw(queries: DataFrame, train: DataFrame, k: int = 5, window: int | None = None, step: int = 1) -> DataFrame:
+    """(id, label) of a stated set of query series by dynamic time warping over every ``step``-th sample; ties as in knn_classify."""
+    from modeloom.operators.decompose import dtw
+
+    def thinned(c: str) -> Column:
+        return F.filter(c, lambda x, i: i % step == 0)
+
+    pairs = _against(train, queries).select("id", "other_id", "label", thinned("features").alias("x"), thinned("other").alias("y"))
+    d = dtw(pairs, window).join(train.select("id", "label"), "id").select("other_id", F.struct(F.col("distance").alias("d"), "id", "label").alias("n"))
+    return _vote(_least(d, k))

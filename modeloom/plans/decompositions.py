@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modeloom.operators import correlation, entropy, scaling
+from modeloom.functions import arrays
+from modeloom.operators import correlation, entropy, features, scaling
 from modeloom.operators import decompose as D
 from modeloom.plans.catalogue import EVENTS, USERS, WINDOW, query, rounded
 from modeloom.sources import generators, signals
@@ -90,6 +91,20 @@ def dtw(spark, sf_dir):
     return D.dtw(pairs, 4)
 
 
+@query("knn_dtw")
+def knn_dtw(spark, sf_dir):
+    rows = signals.embedding_features(spark, sf_dir)
+    return features.knn_dtw(rows.where(F.col("id") % 20 == 0), rows, 5, 4, 4)
+
+
+@query("sql_functions")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions: a vector's warping distance from its own reverse, and its envelope's peak."""
+    arrays.register(spark)
+    signals.embedding_features(spark, sf_dir).createOrReplaceTempView("embedding_rows")
+    return spark.sql("SELECT id, dtw_distance(features, reverse(features)) AS distance, array_max(hilbert_envelope(features)) AS peak FROM embedding_rows")
+
+
 IMAGE_SUM = """WITH l AS (SELECT vec_id AS image_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
 SELECT image_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, round(value, 6) + 0.0::DOUBLE AS value FROM l"""
 
