@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from modeloom.llm.bpe import MEMO_CHUNK, ODD_GAPS, vocabulary
 
 #: Chunks whose counts a worker keeps; the memo is emptied when full.
-MEMO_SIZE = 1_000_000
+MEMO_SIZE = 300_000
+#: Characters of texts that are cut into chunks at once.
+SLICE_CHARS = 2_000_000
 #: Symbols that are merged together at once; more words wait for the next round.
 ROUND_SYMBOLS = 2_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -83,25 +85,35 @@ def merger(path: str) -> tuple[Merger, dict[str, int]]:
     return Merger(path), {}
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _count(texts: list[str], path: str) -> list[int]:
+    """Token counts of a few texts: what the memo lacks is merged together."""
     m, memo = merger(path)
     vocab = m.vocab
+    cut = [t.split() if "<|" not in t and not any(c in t for c in ODD_GAPS) else list(vocab.chunks(t)) for t in texts]
+    fresh = list({c for chunks in cut for c in chunks if not isinstance(c, int) and c not in memo})
+    words = [vocab.words(c) for c in fresh]
+    each = list({w for ws in words for w in ws})
+    of = dict(zip(each, m.counts(each).tolist(), strict=True))
+    seen = {c: sum([of[w] for w in ws]) for c, ws in zip(fresh, words, strict=True)}
+    counts = [sum([1 if isinstance(c, int) else memo[c] if c in memo else seen[c] for c in chunks]) for chunks in cut]
+    if len(memo) + len(seen) > MEMO_SIZE:
+        memo.clear()
+    memo |= {c: n for c, n in seen.items() if len(c) <= MEMO_CHUNK}
+    return counts
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() or "" for t in batch.column(1)]
-        cut = [t.split() if "<|" not in t and not any(c in t for c in ODD_GAPS) else list(vocab.chunks(t)) for t in texts]
-        fresh = list({c for chunks in cut for c in chunks if not isinstance(c, int) and c not in memo})
-        words = [vocab.words(c) for c in fresh]
-        each = list({w for ws in words for w in ws})
-        of = dict(zip(each, m.counts(each).tolist(), strict=True))
-        seen = {c: sum(of[w] for w in ws) for c, ws in zip(fresh, words, strict=True)}
-        counts = [sum([1 if isinstance(c, int) else memo[c] if c in memo else seen[c] for c in chunks]) for chunks in cut]
-        memo |= {c: n for c, n in seen.items() if len(c) <= MEMO_CHUNK}
-        if len(memo) > MEMO_SIZE:
-            memo.clear()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
-            names=["doc_id", "n_bytes", "n_tokens"],
-        )
+        sizes, counts, part, chars = [], [], [], 0
+        for text in batch.column(1):
+            part.append(text.as_py() or "")
+            sizes.append(len(part[-1].encode()))
+            chars += len(part[-1])
+            if chars >= SLICE_CHARS:
+                counts += _count(part, path)
+                part, chars = [], 0
+        counts += _count(part, path)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
