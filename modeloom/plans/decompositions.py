@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from modeloom.functions import arrays
 from modeloom.operators import correlation, entropy, features, scaling
 from modeloom.operators import decompose as D
+from modeloom.operators.frames import lengths
 from modeloom.plans.catalogue import EVENTS, USERS, WINDOW, query, rounded
 from modeloom.sources import generators, signals
 
@@ -45,9 +46,10 @@ for _name, _params in PARTIAL.items():
 
 
 def _channels(spark, sf_dir):
-    """Three channels of each series: the signal, and it moved by one and by two samples."""
-    s = signals.events_hourly(spark, sf_dir).where("t < 100")
-    return s.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"), "t", "value").select("series_id", "channel", ((F.col("t") + F.col("channel")) % 100).alias("t"), "value")
+    """Three channels of each series: the signal, and it moved by one and by two samples around its end."""
+    s = signals.events_hourly(spark, sf_dir)
+    s = s.join(lengths(s), "series_id").select("series_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"), "t", "n", "value")
+    return s.select("series_id", "channel", ((F.col("t") + F.col("channel")) % F.col("n")).alias("t"), "value")
 
 
 CHANNELS = f"WITH {EVENTS} SELECT series_id, CAST(c AS INTEGER) AS channel, (t + c) % 100 AS t, round(value, 6) + 0.0::DOUBLE AS value FROM sig CROSS JOIN range(0, 3) r(c) WHERE t < 100"
