@@ -169,12 +169,21 @@ def kurtogram(signal: DataFrame, levels: int = 5) -> DataFrame:
     return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, level int, band int, kurtosis double")
 
 
+#: Pairs warped at a time.
+DTW_ROWS = 2_000
+
+
 def dtw(pairs: DataFrame, window: int | None = None) -> DataFrame:
     """(id, other_id, distance) from rows (id, other_id, x, y) whose x and y are arrays of samples."""
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([spectral.dtw(np.asarray(a, float), np.asarray(b, float), window) for a, b in zip(x, y, strict=True)])
+        out = np.empty(len(x))
+        size = pd.DataFrame({"x": x.map(len), "y": y.map(len)})
+        for at in size.groupby(["x", "y"]).indices.values():
+            for part in np.array_split(at, -(-len(at) // DTW_ROWS)):
+                out[part] = spectral.dtw_rows(np.array(x.iloc[part].tolist(), float), np.array(y.iloc[part].tolist(), float), window)
+        return pd.Series(out)
 
     return pairs.select("id", "other_id", distance("x", "y").alias("distance"))
 

@@ -365,3 +365,21 @@ def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:
         now[lo : hi + 1] = row
         before = now
     return float(before[n])
+
+
+def dtw_rows(a: np.ndarray, b: np.ndarray, window: int | None = None) -> np.ndarray:
+    """``dtw`` of every row of ``a`` (P, m) and the same row of ``b`` (P, n), all rows at a time."""
+    m, n = a.shape[1], b.shape[1]
+    width = max(window if window is not None else max(m, n), abs(m - n))
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    before = np.full((n + 1, a.shape[1]), np.inf)
+    before[0] = 0.0
+    for i in range(1, m + 1):
+        now = np.full_like(before, np.inf)
+        lo, hi = max(1, i - width), min(n, i + width)
+        best = np.minimum(before[lo : hi + 1], before[lo - 1 : hi])
+        cost = np.abs(a[i - 1] - b[lo - 1 : hi])
+        for j in range(lo, hi + 1):
+            now[j] = cost[j - lo] + np.minimum(best[j - lo], now[j - 1])
+        before = now
+    return before[n]

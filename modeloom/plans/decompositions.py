@@ -88,15 +88,15 @@ def kurtogram(spark, sf_dir):
 @query("dtw")
 def dtw(spark, sf_dir):
     rows = signals.embedding_features(spark, sf_dir)
-    some = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("other_id"), F.slice("features", 1, 16).alias("y"))
-    pairs = rows.select("id", F.slice("features", 1, 16).alias("x")).join(F.broadcast(some))
+    some = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("other_id"), F.col("features").alias("y"))
+    pairs = rows.select("id", F.col("features").alias("x")).join(F.broadcast(some))
     return D.dtw(pairs, 4)
 
 
 @query("knn_dtw")
 def knn_dtw(spark, sf_dir):
     rows = signals.embedding_features(spark, sf_dir)
-    return features.knn_dtw(rows.where(F.col("id") % 20 == 0), rows, 5, 4, 4)
+    return features.knn_dtw(rows.where(F.col("id") % 20 == 0), rows, 5, 16)
 
 
 @query("sql_functions")

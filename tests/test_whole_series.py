@@ -1,8 +1,14 @@
 """Queries that must read whole series, held against SQL and plain versions written here."""
 
+import math
+import random
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
+from modeloom.operators.kernels import spectral
 from modeloom.plans import catalogue
 from modeloom.plans.catalogue import EVENTS
 from tests.test_catalogue import SF, canon, near
@@ -38,3 +44,47 @@ def test_channel_modes_have_whole_length(spark, duck, name):
     # kernels of even lengths may lose the last sample
     rows = catalogue.QUERIES[f"decompose_{name}"](spark, SF).collect()
     assert rows and all(length[r.series_id] - r.n in (0, 1) for r in rows)
+
+
+def warped(a, b, window):
+    """The distance by its recurrence, cell by cell."""
+    d = {(0, 0): 0.0}
+    for i in range(1, len(a) + 1):
+        for j in range(max(1, i - window), min(len(b), i + window) + 1):
+            d[i, j] = abs(a[i - 1] - b[j - 1]) + min(d.get(k, math.inf) for k in ((i - 1, j - 1), (i, j - 1), (i - 1, j)))
+    return d[len(a), len(b)]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """42 embeddings, alike in their first 16 values and in every fourth one, apart in others."""
+    r = random.Random(1)
+    base = [r.random() for _ in range(64)]
+    rows = [(i, [x if k < 16 or k % 4 == 0 else r.random() * 3 for k, x in enumerate(base)], f"l{i % 3}") for i in range(42)]
+    path = tmp_path_factory.mktemp("vectors")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(f"{path}/embeddings.parquet")
+    return str(path), rows
+
+
+def test_dtw_warps_whole_vectors(spark, vectors):
+    path, rows = vectors
+    want = [(i, j, warped(x, y, 4)) for i, x, _ in rows for j, y, _ in rows if j % 20 == 0]
+    same(catalogue.QUERIES["dtw"](spark, path).select("id", "other_id", "distance").collect(), want)
+
+
+def test_knn_dtw_warps_whole_vectors(spark, vectors):
+    path, rows = vectors
+    want = []
+    for i, x, _ in rows:
+        if i % 20 == 0:
+            near_by = sorted((warped(y, x, 16), j, label) for j, y, label in rows)[:5]
+            votes = Counter(label for _, _, label in near_by)
+            want.append((i, min(votes, key=lambda v: (-votes[v], v))))
+    same(catalogue.QUERIES["knn_dtw"](spark, path).select("id", "label").collect(), want)
+
+
+def test_dtw_rows_is_dtw():
+    r = np.random.default_rng(0)
+    for m, n, window in ((1, 1, None), (5, 9, 2), (9, 5, None), (16, 16, 4)):
+        a, b = r.normal(size=(7, m)), r.normal(size=(7, n))
+        assert spectral.dtw_rows(a, b, window).tolist() == [spectral.dtw(x, y, window) for x, y in zip(a, b, strict=True)]
