@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.operators.frames import lengths, local, shifted
 
 
-def lagged_products(left: DataFrame, right: DataFrame, max_lag: int) -> DataFrame:
-    """(series_id, lag, total, overlap): sums of x[t] y[t - lag] for lags up to ``max_lag`` either way.
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of x[t] y[t - lag] for every lag from 1 - len(y) to len(x) - 1, by FFT."""
+    size = len(x) + len(y) - 1
+    return np.roll(np.fft.irfft(np.fft.rfft(x, 2 * size) * np.conj(np.fft.rfft(y, 2 * size)), 2 * size), len(y) - 1)[:size]
 
-    The right side is dealt out to its lags, so the join is by equality, and
-    sums are formed before the shuffle.
+
+def lagged_products(left: DataFrame, right: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(series_id, lag, total, overlap): sums of x[t] y[t - lag] for all lags, or for lags up to ``max_lag`` either way.
+
+    With ``max_lag``, the right side is dealt out to its lags, so the join is by
+    equality, and sums are formed before the shuffle; all lags are an FFT of
+    each series.
     """
+    if max_lag is None:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("t", kind="stable")
+            x, y = (pdf["value"].to_numpy(float)[pdf["side"] == i] for i in (0, 1))
+            if not len(x) or not len(y):
+                return pd.DataFrame(columns=["series_id", "lag", "total", "overlap"])
+            lag = np.arange(1 - len(y), len(x))
+            overlap = np.minimum(len(x), lag + len(y)) - np.maximum(0, lag)
+            return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": lag, "total": _products(x, y), "overlap": overlap})
+
+        sides = [s.select("series_id", "t", "value", F.lit(i).alias("side")) for i, s in enumerate((left, right))]
+        return sides[0].unionByName(sides[1]).groupBy("series_id").applyInPandas(run, "series_id string, lag bigint, total double, overlap bigint")
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
     moved = right.select("series_id", "t", F.col("value").alias("y"), lags).select("series_id", (F.col("t") + F.col("lag")).alias("t"), "lag", "y")
     return left.join(moved, ["series_id", "t"]).groupBy("series_id", F.col("lag").cast("bigint").alias("lag")).agg(F.sum(F.col("value") * F.col("y")).alias("total"), F.count("*").alias("overlap"))
 
 
-def cross_correlation(left: DataFrame, right: DataFrame, max_lag: int, unbias: bool = False) -> DataFrame:
+def cross_correlation(left: DataFrame, right: DataFrame, max_lag: int | None = None, unbias: bool = False) -> DataFrame:
     """(series_id, lag, r): lagged products over the length, or over the overlap if ``unbias``."""
     n = lengths(left)
     by = F.col("overlap") if unbias else F.col("n")
@@ -32,11 +54,23 @@ def pearson(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, ["series_id", "t"]).groupBy("series_id").agg(F.corr("value", "y").alias("r"))
 
 
-def autocorrelation(signal: DataFrame, max_lag: int) -> DataFrame:
-    """(series_id, lag, r) for lags from 0: mean-removed products over variance and n - lag.
+def autocorrelation(signal: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(series_id, lag, r) for lags from 0 to ``max_lag``, or to n // 2: mean-removed products over variance and n - lag.
 
-    One window of ``max_lag`` samples gives every product, without a join.
+    One window of ``max_lag`` samples gives every product, without a join; lags
+    to n // 2 are an FFT of each series.
     """
+    if max_lag is None:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = pdf.sort_values("t", kind="stable")["value"].to_numpy(float)
+            n, lag = len(x), np.arange(len(x) // 2 + 1)
+            x = x - x.mean()
+            var = x.var()
+            r = _products(x, x)[n - 1 + lag] / var / (n - lag) if var > 0 else None
+            return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": lag, "r": r})
+
+        return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, lag bigint, r double")
     stats = signal.groupBy("series_id").agg(F.avg("value").alias("mu"), F.var_pop("value").alias("var"), F.count("*").alias("n"))
     centred = signal.join(stats, "series_id").withColumn("value", F.col("value") - F.col("mu"))
     ahead = local(centred, 0, max_lag, y=lambda w: F.collect_list("value").over(w.rowsBetween(0, max_lag)))

@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from modeloom.operators.frames import lengths
 
 
-def dft(signal: DataFrame, bins: int) -> DataFrame:
-    """(series_id, bin, re, im, power) of the first ``bins`` discrete Fourier bins, by partial sums: for few bins of long series."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    e = signal.join(lengths(signal), "series_id").select("series_id", "n", "t", "value", at)
-    angle = F.lit(2 * math.pi) * ((F.col("bin") * F.col("t")) % F.col("n")) / F.col("n")
-    sums = e.groupBy("series_id", F.col("bin").cast("bigint").alias("bin")).agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
+def dft(signal: DataFrame, bins: int | None = None) -> DataFrame:
+    """(series_id, bin, re, im, power) of the discrete Fourier bins 0 to n // 2, by an FFT of each series; or of the first ``bins``, by partial sums: for few bins of long series."""
+    if bins is None:
+        from modeloom.operators.decompose import transform
+
+        sums = transform(signal, "fft").join(lengths(signal), "series_id").where(F.col("bin") <= F.floor(F.col("n") / 2)).drop("n")
+    else:
+        at = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+        e = signal.join(lengths(signal), "series_id").select("series_id", "n", "t", "value", at)
+        angle = F.lit(2 * math.pi) * ((F.col("bin") * F.col("t")) % F.col("n")) / F.col("n")
+        sums = e.groupBy("series_id", F.col("bin").cast("bigint").alias("bin")).agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
     return sums.withColumn("power", F.col("re") ** 2 + F.col("im") ** 2)
 
 
-def amplitude_spectrum(signal: DataFrame, bins: int, fs: float = 1.0) -> DataFrame:
-    """(series_id, bin, freq, amplitude): single-sided amplitudes, 2 |X| / n."""
+def amplitude_spectrum(signal: DataFrame, bins: int | None = None, fs: float = 1.0) -> DataFrame:
+    """(series_id, bin, freq, amplitude): single-sided amplitudes, 2 |X| / n, of all bins or the first ``bins``."""
     d = dft(signal, bins).join(lengths(signal), "series_id")
     return d.select("series_id", "bin", (F.col("bin") * fs / F.col("n")).alias("freq"), (2 * F.sqrt("power") / F.col("n")).alias("amplitude"))
 

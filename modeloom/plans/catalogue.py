@@ -241,7 +241,7 @@ SELECT a.series_id, b.t - a.t AS lag, round(SUM((a.value - mu) * (b.value - mu))
 FROM sig a JOIN m USING (series_id) JOIN sig b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 24 GROUP BY 1, 2""",
 )
 def autocorrelation(spark, sf_dir):
-    return correlation.autocorrelation(signals.events_hourly(spark, sf_dir), 24)
+    return correlation.autocorrelation(signals.events_hourly(spark, sf_dir))
 
 
 PAIR = "y AS (SELECT series_id, t, lag(value, 1, 0.0::DOUBLE) OVER (PARTITION BY series_id ORDER BY t) + t * 0.5::DOUBLE AS value FROM sig)"
@@ -267,7 +267,7 @@ FROM sig s JOIN len USING (series_id) JOIN y ON y.series_id = s.series_id AND ab
     places=4,
 )
 def cross_correlation(spark, sf_dir):
-    return correlation.cross_correlation(*_pair(spark, sf_dir), 12)
+    return correlation.cross_correlation(*_pair(spark, sf_dir))
 
 
 @query("lag_matrix", f"WITH {USERS} SELECT a.series_id, a.t AS row, b.t - a.t AS col, round(b.value, 6) + 0.0::DOUBLE AS value FROM sig a JOIN len USING (series_id) JOIN sig b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 4 WHERE a.t <= n - 5")
@@ -376,7 +376,7 @@ def orthogonality_index(spark, sf_dir):
 round(pow(SUM(value * cos(2 * pi() * k * t / n)), 2) + pow(SUM(value * sin(2 * pi() * k * t / n)), 2), 6) + 0.0::DOUBLE AS power FROM sig JOIN len USING (series_id) CROSS JOIN range(0, 8) r(k) GROUP BY 1, 2""",
 )
 def dft(spark, sf_dir):
-    return spectra.dft(signals.users_daily(spark, sf_dir), 8)
+    return spectra.dft(signals.users_daily(spark, sf_dir))
 
 
 @query(
@@ -385,7 +385,7 @@ def dft(spark, sf_dir):
 round(2 * sqrt(pow(SUM(value * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(SUM(value * sin(2 * pi() * ((k * t) % n) / n)), 2)) / ANY_VALUE(n), 6) + 0.0::DOUBLE AS amplitude FROM sig JOIN len USING (series_id) CROSS JOIN range(0, 40) r(k) GROUP BY 1, 2""",
 )
 def amplitude_spectrum(spark, sf_dir):
-    return spectra.amplitude_spectrum(signals.events_hourly(spark, sf_dir), 40, 24.0)
+    return spectra.amplitude_spectrum(signals.events_hourly(spark, sf_dir), fs=24.0)
 
 
 @query(
@@ -417,7 +417,7 @@ SELECT series_id, bin, round(power / 1e6, 3) + 0.0::DOUBLE AS power, rank FROM z
     places=3,
 )
 def local_peaks(spark, sf_dir):
-    return spectra.local_peaks(spectra.dft(signals.events_hourly(spark, sf_dir), 60), 5).withColumn("power", F.col("power") / 1e6)
+    return spectra.local_peaks(spectra.dft(signals.events_hourly(spark, sf_dir)), 5).withColumn("power", F.col("power") / 1e6)
 
 
 @query(
