@@ -55,13 +55,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], np.uint64)
+        keys = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(found.view(np.int64))], names=[*keys, "fp"])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _fingerprint_batches(b, width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = 4, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, or (doc_id, hash, fp) with a hash of the text; fp is the fingerprint as a signed long."""
+    keys = ["doc_id", *[F.xxhash64("text").alias("hash")] * hashed]
+    return docs.select(*keys, "text").mapInArrow(lambda b: _fingerprint_batches(b, width), f"doc_id long, {'hash long, ' * hashed}fp long")
 
 
 def _halves(fp: str = "fp") -> tuple:
@@ -190,6 +192,15 @@ def links(distinct: DataFrame, radius: int, tile_rows: int | None = None) -> Dat
     )
 
 
+def _members(distinct: DataFrame, radius: int, tile_rows: int | None = None) -> DataFrame:
+    """(fp, root) of every fingerprint that is linked to another; the root is one of the component's fingerprints."""
+    stars = connected_components(links(distinct, radius, tile_rows))
+    return stage_table(
+        stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct()),
+        "simhash-members",
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -201,11 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows:
     """
     prints = stage_table(fingerprints(docs, width), "simhash-fp")
     distinct = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    stars = connected_components(links(distinct, radius, tile_rows))
-    member = stage_table(
-        stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct()),
-        "simhash-members",
-    )
+    member = _members(distinct, radius, tile_rows)
     named = member.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     label = stage_table(member.join(named, "root").select("fp", "component_id"), "simhash-components")
     # a group of exact copies is one fp: the label table is small beside the rows, and skewed joins are split
@@ -216,10 +223,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id, one row each, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: the one with the smallest doc_id.
 
-    Rows without a doc_id can't be named as the one that stays, so they go.
+    Rows without a doc_id come last, and stay where a component has no other;
+    of different texts under one doc_id, the smaller hash stays.
     """
-    found = near_duplicates(docs, width, radius)
-    stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    prints = stage_table(fingerprints(docs, width, hashed=True), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    distinct = stage_table(prints.groupBy("fp").agg(F.min(first).alias("least")), "simhash-distinct")
+    rooted = distinct.join(_members(distinct, radius), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    stays = rooted.agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__stays"))
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = rows.join(stays, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__stays")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
