@@ -43,12 +43,16 @@ def _shingle(k: int) -> Column:
     return F.when(parts[0] == "", F.lit("") if k == SHINGLE else F.lit(None)).when(last.isNull() | (last == ""), None).otherwise(F.concat_ws(" ", *parts))
 
 
+def _keys() -> tuple[Column, Column]:
+    """k1 and k2, by which a row is judged: its doc_id and a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("text").alias("k2")
+
+
 def _places(docs: DataFrame, shingles: DataFrame, n_shingles: int, sizes: list[int]) -> DataFrame:
     """(k1, k2, n_words, pos, shingle) wherever a document has a benchmark shingle, and one row with an empty shingle for each document."""
     w = F.col("w")
     words = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"),
-        F.xxhash64("text").alias("k2"),
+        *_keys(),
         F.concat(ascii_words(F.col("text")), F.array(F.lit(""))).alias("w"),
     )
     shifted = [w, *(F.slice(w, i + 1, F.greatest(F.size(w), F.lit(1))) for i in range(1, SHINGLE))]
@@ -72,6 +76,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     result each, repeated items (by item_id) count once, an empty benchmark
     gives no hits and an empty table no rows. Other columns are not read.
     """
+    return _judged(docs, benchmark, window).drop("k1", "k2")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The rows of ``contamination`` with their keys k1 and k2."""
     windows = stage_table(_windows(benchmark, window), "decon-windows")
     contents = windows.select("content", "width", "k").distinct()
     parts = contents.select("content", "width", "k", F.split("content", " ").alias("w")).select(
@@ -145,6 +154,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     every = places.where("shingle = ''").select("k1", "k2", F.col("n_words").cast("long").alias("n_words"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(hits, ["k1", "k2"], "left").select(
+        "k1",
+        "k2",
         F.when(F.col("k1") != -(2**63), F.col("k1")).alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -155,9 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns.
-
-    Rows of the same doc_id are judged together, as are those without one.
-    """
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns. Each row is judged by its own text."""
+    bad = _judged(docs, benchmark, window).where("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = _keys()
+    return docs.join(bad, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")

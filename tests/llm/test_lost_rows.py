@@ -33,3 +33,13 @@ def test_dedup_of_odd_rows_keeps_every_component(odd, pairs, spark):
     for (doc_id, _), g in zip(out, kept, strict=True):
         named = [d for (d, _), h in zip(pairs, groups, strict=True) if h == g and d is not None]
         assert doc_id == min(named, default=None)
+
+
+def test_decontamination_judges_rows_by_their_text(spark, tmp_path):
+    r = random.Random(12)
+    item, clean, other = prose(r, 12), prose(r, 60), prose(r, 60)
+    bad = f"{prose(r, 30)} {item} {prose(r, 30)}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, bad), (None, clean), (None, None), (5, bad), (5, other), (6, other)]
+    out = got(corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path)))
+    assert out == sorted([(None, clean), (None, None), (5, other), (6, other)], key=str)
