@@ -17,11 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, one made for this session."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder
+    of its own; a cluster must name one, as no machine's own folder would do.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(sc, "_own_shared_dir", None):
         sc._own_shared_dir = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, sc._own_shared_dir, ignore_errors=True)
@@ -29,14 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._own_shared_dir
 
 
-_staged: list[str] = []
+#: Open scopes of staged paths, innermost last; the first holds what no scope has claimed.
+_scopes: list[list[str]] = [[]]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, because all that rests on them is written."""
+    for df in tables:
+        for scope in _scopes:
+            if df._staged in scope:
+                scope.remove(df._staged)
+        _delete(df.sparkSession, df._staged)
+
+
+class Staging:
+    """Collects what is staged inside a ``with`` block; ``release`` deletes it once all that rests on it is written."""
+
+    def __enter__(self) -> Staging:
+        self.paths: list[str] = []
+        _scopes.append(self.paths)
+        return self
 
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self.paths)
+        _scopes[-1].extend(self.paths)
 
-def release(spark: SparkSession) -> None:
-    """Deletes what stage_table has written in this process; for when all results that rest on it are written."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def release(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            for scope in _scopes:
+                if path in scope:
+                    scope.remove(path)
+            _delete(spark, path)
+        self.paths = []
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
@@ -48,8 +83,18 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def let(value: Column, body) -> Column:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm._io import stage_table
-
-#: Rounds allowed; alternating stars need about the square of the logarithm of a component's size.
-MAX_ROUNDS = 60
+from modeloom.llm._io import discard, stage_table
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,18 +26,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v: long) but the roots.
 
     The root is the smallest node reachable. Self-loops and repeated edges
-    don't matter; no edges give no rows. Each round is written to the shared
-    folder, and only its row count and two sums reach the driver.
+    don't matter; no edges give no rows. Rounds go on until one changes nothing,
+    about the square of the logarithm of the largest component's size. Each is
+    written to the shared folder and the one before deleted; only a row count
+    and a sum reach the driver.
     """
     now = stage_table(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges"
     )
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = mark
         wide = stage_table(_large(now).distinct(), "cc-large")
-        now = stage_table(_small(wide).distinct(), "cc-small")
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+        after = stage_table(_small(wide).distinct(), "cc-small")
+        discard(now, wide)
+        now = after
