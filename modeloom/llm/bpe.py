@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 MEMO_SIZE = 150_000
 #: Words of longer chunks are not kept.
 MEMO_CHUNK = 64
+#: Ids decoded in one pass.
+DECODED_AT_ONCE = 100_000
 #: str.split() cuts at these, the tokenizer's white space class doesn't.
 ODD_GAPS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -90,11 +93,10 @@ class Vocabulary:
             self.codes[i] = "".join(map(chr, body))
         for piece, i in self.specials.items():
             pieces[i] = piece.encode()
-        # the decoding's offset table: piece i is blob[offsets[i]:offsets[i + 1]]
-        self.offsets = [0]
-        for p in pieces:
-            self.offsets.append(self.offsets[-1] + len(p))
-        self.blob = b"".join(pieces)
+        # the decoding's offset table: piece i and a space are blob[offsets[i]:offsets[i + 1]]; the last stands for ids without a piece
+        spaced = [p + b" " if p else b"" for p in [*pieces, b""]]
+        self.offsets = np.cumsum([0, *map(len, spaced)], dtype=np.int32)
+        self.blob = np.frombuffer(b"".join(spaced), np.uint8)
         self.merges: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(size)]
         for left, right in model["merges"]:
@@ -206,16 +208,23 @@ class Vocabulary:
                     out += self.encode_word(word)
         return out
 
-    def piece(self, token: int) -> bytes:
-        return self.blob[self.offsets[token] : self.offsets[token + 1]]
-
-    @functools.cached_property
-    def pieces(self) -> list[bytes]:
-        return [self.piece(i) for i in range(len(self.offsets) - 1)]
+    def decode_many(self, ids: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        """The texts of id sequences that end at ``upto`` in ``ids``, as UTF-8: their pieces joined by spaces, as the file names no decoder.
+
+        Piece i with its space is blob[offsets[i]:offsets[i + 1]]. Ids outside
+        the vocabulary have no piece and are skipped.
+        """
+        ids = np.where((ids >= 0) & (ids < len(self.offsets) - 1), ids, len(self.offsets) - 2)
+        first = self.offsets[ids]
+        size = self.offsets[ids + 1] - first
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(first - (ends - size).astype(np.int32), size)
+        text = self.blob[at].tobytes()
+        cuts = np.r_[0, ends][upto].tolist()
+        return [text[a : max(a, b - 1)] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def decode(self, ids: list[int]) -> str:
-        """The pieces joined by spaces, as the file names no decoder; ids outside the vocabulary are skipped."""
-        return b" ".join(self.piece(i) for i in ids if 0 <= i < len(self.offsets) - 1 and self.offsets[i] < self.offsets[i + 1]).decode()
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].decode()
 
 
 @functools.lru_cache(maxsize=4)
@@ -243,38 +252,63 @@ class Memo(dict):
 
 @functools.lru_cache(maxsize=2)
 def coded_chunks(path: str) -> Memo:
-    """(ids as bytes, pieces joined by spaces) of chunks and special ids, kept as long as the worker lives."""
+    """The ids, as little-endian bytes, of chunks and special ids, kept as long as the worker lives."""
     vocab = vocabulary(path)
     words = Memo(vocab.encode_word, MEMO_SIZE)
 
-    def coded(chunk: str | int) -> tuple[bytes, bytes]:
+    def coded(chunk: str | int) -> bytes:
         if isinstance(chunk, int):
             ids = [chunk]
         elif len(chunk) > MEMO_CHUNK:
             ids = [i for w in vocab.words(chunk) for i in vocab.encode_word(w)]
         else:
             ids = [i for w in vocab.words(chunk) for i in words[w]]
-        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([vocab.pieces[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     return Memo(coded, MEMO_SIZE)
 
 
+def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbours whose sizes sum to at most ``most``, or single ones beyond it."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _decoded_digests(vocab: Vocabulary, coded: list[bytes]) -> list[str]:
+    """Digests of the texts that id sequences decode to; a long one is decoded in slices."""
+    if len(coded) == 1:
+        found, gap = hashlib.sha256(), b""
+        for at in range(0, len(coded[0]), 4 * DECODED_AT_ONCE):
+            ids = np.frombuffer(coded[0][at : at + 4 * DECODED_AT_ONCE], "<u4").astype(np.int64)
+            found.update(gap + vocab.decode_many(ids, np.array([len(ids)]))[0])
+            gap = b" "
+        return [found.hexdigest()]
+    ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+    return [hashlib.sha256(t).hexdigest() for t in vocab.decode_many(ids, np.cumsum([len(c) // 4 for c in coded]))]
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocab, memo = vocabulary(path), coded_chunks(path)
     for batch in batches:
-        counts, ids_sha, text_sha = [], [], []
+        coded = []
         for text in batch.column(1):
             text = text.as_py() or ""
             simple = "<|" not in text and not any(c in text for c in ODD_GAPS)
-            pairs = [memo[c] for c in (text.split() if simple else vocab.chunks(text))]
-            ids = b"".join([p[0] for p in pairs])
-            counts.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(b" ".join([p[1] for p in pairs if p[0]])).hexdigest())
+            coded.append(b"".join([memo[c] for c in (text.split() if simple else vocab.chunks(text))]))
+        decoded = [d for a, b in _groups([len(c) // 4 for c in coded], DECODED_AT_ONCE) for d in _decoded_digests(vocab, coded[a:b])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+            [
+                batch.column(0), pa.array([len(c) // 4 for c in coded], pa.int64()),
+                pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array(decoded, pa.string()),
+            ],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        )
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
