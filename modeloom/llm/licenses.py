@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words.
 
 Templates are word sequences with a mandatory key phrase. Their words' document
-frequencies are counted over all documents; each template is looked up by its
-rarest words (highest IDF). Such a word at place p votes for the template at p
-minus the word's offset; at each place voted for, all of the template's words
-are compared by relative position, and the key phrase must stand there whole.
+frequencies are counted over all documents; each template is looked up by the
+rarest word (highest IDF) of its key phrase, which must stand whole, so that no
+place is missed. Such a word at place p votes for the template at p minus the
+word's offset; at each place voted for, the key phrase is verified and all of
+the template's words are compared by relative position.
 """
 
 from __future__ import annotations
@@ -57,8 +58,6 @@ TEMPLATES = (
     template("cc0", "cc0 1 0 universal"),
     template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
 )
-#: Rarest words by which a template is looked up; a place is missed only if all of them are altered.
-ANCHORS = 3
 #: Least share of a template's words that must stand at their relative places.
 SHARE = 0.8
 
@@ -78,11 +77,8 @@ def _index(templates: tuple[Template, ...], seen: dict[str, int]) -> tuple[list[
     """The anchors, and postings (word, template's number, offset) as a literal."""
     postings = []
     for n, t in enumerate(templates):
-        ranked = sorted(range(len(t.words)), key=lambda i: (seen[t.words[i]], t.words[i], i))
-        # of a phrase that must stand whole one word is enough, and finds each place once
-        whole = t.key == (0, len(t.words))
-        for i in ranked[: 1 if whole else ANCHORS]:
-            postings.append((t.words[i], n, i))
+        at = min(range(*t.key), key=lambda i: (seen[t.words[i]], t.words[i], i))
+        postings.append((t.words[at], n, at))
     rows = [F.struct(F.lit(w).alias("word"), F.lit(n).alias("t"), F.lit(i).alias("off")) for w, n, i in postings]
     return sorted({p[0] for p in postings}), F.array(*rows)
 
@@ -120,7 +116,7 @@ def _found(w: Column, templates: tuple[Template, ...], anchors: list[str], posti
 
         return let(about_it, scored)
 
-    return F.transform(F.array_distinct(votes), weighed)
+    return F.transform(votes, weighed)
 
 
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
