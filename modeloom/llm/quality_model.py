@@ -3,12 +3,14 @@
 A text's features are hashed one- and two-word sequences, of the words as they
 stand and of their shapes (letters, digits and marks in outline), each weighed
 by its share of the text. Weights are trained by follow-the-regularised-leader
-updates on a bounded sample of labelled rows and sent to the workers, where a
-text is scored by one sparse dot product.
+updates in one task, on a bounded sample of labelled rows whose features were
+counted where the texts are, and sent to the workers, where a text is scored by
+one sparse dot product.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 #: Most labelled rows that are trained on, the first by a hash of doc_id, and how often each is seen.
 TRAIN_ROWS = 4_000
+#: Most distinct features of all rows trained on (8 bytes each); rows beyond are left out.
+TRAIN_FEATURES = 1 << 24
 EPOCHS = 4
 #: The fold that is kept from training, and the score from which a text counts as good.
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -99,41 +103,54 @@ class Ftrl:
         return p
 
 
-def sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets with their weighed shares, and the bias."""
-    at, count = np.unique(buckets, return_counts=True)
-    value = 10 * count / max(1, len(buckets))
-    return np.append(at, BUCKETS), np.append(value, 1.0)
-
-
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
-    """Weights (BUCKETS and the bias) from rows of (buckets, label); without rows, zeros."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
+    """Weights (BUCKETS and the bias) from rows of (distinct buckets, their counts, label); without rows, zeros."""
     model = Ftrl()
-    data = [(*sparse(b), y) for b, y in rows]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(data)):
-            model.update(*data[i])
+        for i in order.permutation(len(rows)):
+            at, count, y = rows[i]
+            model.update(np.append(at, BUCKETS), np.append(10 * count / max(1, count.sum()), 1.0), y)
     return model.weights()
 
 
-def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, order, buckets, counts) of rows (label, order, text): a text's features, however long it is at most BUCKETS of them."""
     hasher = Hasher()
+    kind = pa.list_(pa.int32())
+    for batch in batches:
+        found = [np.unique(hasher.buckets(t.as_py()), return_counts=True) for t in batch.column(2)]
+        cells = [pa.array([f[k].astype(np.int32) for f in found], kind) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], names=["label", "place", "buckets", "counts"])
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    rows, room = [], most
     for batch in batches:
-        cells = [hasher.buckets(t.as_py()).astype(np.int32) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int32()))], names=["label", "buckets"])
+        for y, at, count in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if len(at) <= room:
+                room -= len(at)
+                rows.append((np.array(at.values, np.int32), np.array(count.values, np.int32), int(y)))
+    out = io.BytesIO()
+    np.save(out, train(rows))
+    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[np.ndarray, int]]:
-    """Features and labels of at most ``most`` labelled rows that aren't held out, the first by a hash of doc_id.
+def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndarray:
+    """Weights from at most ``most`` labelled rows that aren't held out, the first by a hash of doc_id.
 
-    A doc_id labelled twice counts by its larger label.
+    A doc_id labelled twice counts by its larger label, one with several texts
+    by the least of them. Only the weights reach the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-    found = rows.select("label", "text").mapInArrow(_bucket_batches, "label int, buckets array<int>").toArrow()
-    return [(np.asarray(b.values, np.int64), int(y)) for y, b in zip(found["label"].to_pylist(), found["buckets"], strict=True)]
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    counted = texts.select(F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"), "text").mapInArrow(
+        _count_batches, "label int, place long, buckets array<int>, counts array<int>"
+    )
+    rows = counted.repartitionByRange(1, "place").sortWithinPartitions("place")
+    found = rows.mapInArrow(lambda b: _train_batches(b, TRAIN_FEATURES), "weights binary").collect()
+    return np.load(io.BytesIO(bytes(found[0][0]))) if found else np.zeros(BUCKETS + 1)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
@@ -157,6 +174,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -
     an empty table gives no rows. The broadcast holds BUCKETS + 1 weights.
     """
     sc = docs.sparkSession.sparkContext
-    weights = sc.broadcast(train(training_rows(docs, labels, most)))
+    weights = sc.broadcast(learn(docs, labels, most))
     scored = docs.select("doc_id", "text").mapInArrow(lambda b: _score_batches(b, weights), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
