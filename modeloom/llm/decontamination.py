@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm._io import ascii_words, stage_table
+from modeloom.llm._io import ascii_words, discard, stage_table, unused
 
 WINDOW = 10
 SHINGLE = 3
@@ -131,6 +131,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         .select("k1", "k2", "content", "width", "start")
     )
     whole = stage_table(whole, "decon-occurrences")
+    discard(parts, prefix)
 
     spans = whole.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "width"))).alias("spans"))
     # spans in order of their starts: each adds what lies beyond the reach so far
@@ -166,7 +167,13 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns. Each row is judged by its own text."""
-    bad = _judged(docs, benchmark, window).where("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns, whatever these are called.
+
+    Each row is judged by its own text, so rows that share a doc_id, or have
+    none, don't decide about each other; rows alike in both fare alike. Null
+    texts stay; an empty benchmark drops nothing and an empty table gives no rows.
+    """
+    a, b = unused(docs, "decon_k1"), unused(docs, "decon_k2")
+    bad = _judged(docs, benchmark, window).where("contaminated").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = _keys()
-    return docs.join(bad, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(bad, (k1 == F.col(a)) & (k2 == F.col(b)), "left_anti")
