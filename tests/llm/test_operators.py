@@ -73,6 +73,46 @@ def test_license_template_with_altered_words(spark):
     assert got[1].labels == "mit" and 0.8 <= got[1].score < 1 and got[2].labels == ""
 
 
+def test_licenses_equal_sql_wherever_words_are_altered(spark, tmp_path):
+    """Up to five words altered outside each key phrase, and the key phrase broken; beside texts that make any of the words common."""
+    import random
+
+    import duckdb
+
+    from modeloom.llm import sql
+
+    r = random.Random(8)
+    rows = [(0, "in without restriction the copy of software " * 30)]
+    for t in licenses.TEMPLATES:
+        free = [i for i in range(len(t.words)) if not t.key[0] <= i < t.key[1]]
+        for k in range(6):
+            words = list(t.words)
+            for i in r.sample(free, min(k, len(free))):
+                words[i] = r.choice(("other", words[i - 1], ""))
+            rows.append((len(rows), "some words " + " ".join(words) + " end"))
+        words = list(t.words)
+        words[r.randrange(*t.key)] = "broken"
+        rows.append((len(rows), " ".join(words)))
+    words = list(licenses.TEMPLATES[3].words)
+    for gone in ("in", "without", "restriction"):
+        words[words.index(gone)] = "other"
+    rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.license_scan(docs)
+    columns = sorted(got.columns)
+    c = duckdb.connect()
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({sql.licenses()})").fetchall()
+
+    def canon(found):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else -1 if x is None else x for x in row) for row in found)
+
+    assert canon(map(tuple, got.select(*columns).collect())) == canon(want)
+    last = {x.doc_id: x for x in got.collect()}[len(rows) - 1]
+    assert last.labels == "mit" and 0.89 < last.score < 0.9
+
+
 BENCH = [(1, "the weird gaps"), (2, ""), (3, None), (4, "!!"), (5, "one"), (1, "again the same id with more than ten words in all of its text"), (7, "two words")]
 
 
@@ -190,6 +230,43 @@ def test_substring_dedup_equals_brute_force(spark):
     assert got == {i: len(gone.get(i, ())) for i, _ in docs}
 
 
+def test_ftrl_equals_a_plain_loop():
+    import math
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    rows = []
+    for _ in range(40):
+        at = sorted(r.sample(range(30), r.randint(0, 8)))
+        rows.append((np.array(at, np.int64), np.array([r.randint(1, 4) for _ in at], np.int64), r.randint(0, 1)))
+    got = quality_model.train(rows, epochs=3, seed=9)
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-4, 1e-4
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    order = np.random.default_rng(9)
+    for _ in range(3):
+        for i in order.permutation(len(rows)):
+            at, count, y = rows[i]
+            x = {int(k): 10 * int(c) / max(1, int(count.sum())) for k, c in zip(at, count, strict=True)} | {quality_model.BUCKETS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[k]
+                n[k] = before + g * g
+    for k in [*range(30), quality_model.BUCKETS]:
+        assert math.isclose(got[k], weight(k), abs_tol=1e-9), k
+    assert not got[31:-1].any()
+
+
 def test_quality_model(odd, pairs, empty, spark):
     good = [(1000 + i, t) for i, (_, t) in enumerate(p for p in pairs if p[1] and 200 < len(p[1]) < 2000) for _ in range(1)]
     bad = [(2000 + i, "### $$$ %%% " * (5 + i)) for i in range(20)]
