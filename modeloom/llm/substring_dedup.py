@@ -1,13 +1,22 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences that reaches a least number of words is
-hashed, from each sentence forwards and backwards. Runs are joined globally by
-their hashes: a hash's first run, by (doc_id, place), stays, and the sentences
-under all its other runs go.
+A run is a stretch of at least LEAST_SENTENCES consecutive sentences with at
+least LEAST_WORDS words. Runs are compared over all documents by 128 bits of
+their words: a run's first place, by (doc_id, text hash, sentence), stays, and
+the sentences under all its other places go.
+
+Not every run needs a hash. Take a run R and a sentence s in it, and shrink R
+from both ends as long as it stays a run and has s: what is left is the
+shortest run that begins at its first sentence, or the shortest that ends at
+its last. If R is not at its first place, neither is the smaller run, as R's
+first place has it too, at the same distance. So the shortest runs forwards
+from each sentence and backwards from each remove the same sentences as all
+runs would; a test holds that against all runs of small texts.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,82 +27,99 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm._io import stage_table
+from modeloom.llm._io import discard, stage_table
+from modeloom.llm.bpe import Memo
 
-#: Words that a run has at least; the shortest runs of that many words are hashed.
-LEAST_WORDS = 20
-#: Words beyond which a sentence is cut, and one in how many words ends a piece.
-LONG, PICK = 30, 6
-WORD = re.compile(r"\S+")
-#: A sentence ends after marks before white space, or at a line's end.
-SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s)[^\n.!?]*+)*+(?:[.!?]++|\n|\Z)")
+#: Words and sentences that a run has at least.
+LEAST_WORDS, LEAST_SENTENCES = 20, 2
+#: One word in how many ends a sentence without a mark.
+PICK = 8
+MEMO_WORDS = 200_000
+TOKEN = re.compile(r"\n|\S+")
+MARKS = (".", "!", "?")
+Row = tuple[list[int], list[bytes], list[int]]
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, which together cover it; white space after one belongs to the next.
+def _known(word: str) -> tuple[bytes, bool]:
+    """A word as runs are compared by it, and whether a sentence ends after it."""
+    low = word.lower().encode("utf-8", "surrogatepass")
+    return low, word.endswith(MARKS) or zlib.crc32(low) % PICK == 0
 
-    A sentence of over LONG words is cut after words that a hash picks, about
-    one in PICK: a text without marks still has pieces that its copies share.
-    """
-    out = []
-    for m in SENTENCE.finditer(text):
-        at, end = m.span()
-        if end - at > 2 * LONG and len(m[0].split()) > LONG:
-            for w in WORD.finditer(text, at, end):
-                if zlib.crc32(w[0].lower().encode("utf-8", "surrogatepass")) % PICK == 0 and w.end() < end:
-                    out.append((at, w.end()))
-                    at = w.end()
-        if end > at:
-            out.append((at, end))
-    return out
-
-
-def runs(text: str, least: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of a text, and first sentence, sentence past the last, and hash of each shortest run of ``least`` words.
-
-    Runs are compared by their words, lower-cased, so line breaks and spaces
-    between the words don't matter.
+
+@functools.lru_cache(maxsize=1)
+def _words() -> Memo:
+    return Memo(_known, MEMO_WORDS)
+
+
+def sentences(text: str) -> Row:
+    """Ends of a text's sentences, its words lower-cased, and how many of them there are up to each sentence's end.
+
+    A sentence ends after a word with . ! or ? at its end, at a line's end, and
+    after words that a hash picks, one in PICK: all signs of the place itself,
+    so a repeated passage has the same sentences inside it whatever surrounds
+    it, with or without marks. White space belongs to the sentence after it.
     """
-    spans = sentences(text)
-    words = [text[a:b].lower().split() for a, b in spans]
-    upto = np.cumsum([0, *map(len, words)])
-    n = len(spans)
-    # forwards from each sentence, and backwards from each
-    stop = np.searchsorted(upto, upto[:-1] + least, "left")
-    first = np.searchsorted(upto, upto[1:] - least, "right") - 1
-    # a run begins and ends with a sentence that has words, or one place would have a run twice
-    pairs = {(i, int(j)) for i, j in enumerate(stop) if j <= n and words[i]}
-    pairs |= {(int(i), j + 1) for j, i in enumerate(first) if i >= 0 and words[j]}
-    joined = [" ".join(w) for w in words]
-    found = sorted(pairs)
-    hashes = np.array([xxhash.xxh64_intdigest(" ".join([s for s in joined[a:b] if s]).encode("utf-8", "surrogatepass")) for a, b in found], np.uint64).view(np.int64)
-    return spans, np.array([p[0] for p in found], np.int32), np.array([p[1] for p in found], np.int32), hashes
+    memo = _words()
+    ends: list[int] = []
+    words: list[bytes] = []
+    upto: list[int] = []
+    last, over = 0, True
+    for m in TOKEN.finditer(text):
+        token = m[0]
+        if token == "\n":
+            ends_here = not over
+        else:
+            low, ends_here = memo[token] if len(token) < 64 else _known(token)
+            words.append(low)
+            last, over = m.end(), False
+        if ends_here:
+            ends.append(last)
+            upto.append(len(words))
+            over = True
+    if not over:
+        ends.append(last)
+        upto.append(len(words))
+    return ends, words, upto
+
+
+def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and sentence past the last (rows of two), and hash (two longs), of each shortest run of a text."""
+    _, words, ends = sentences(text)
+    upto = np.array([0, *ends])
+    n = len(ends)
+    at = np.arange(n)
+    stop = np.maximum(np.searchsorted(upto, upto[:-1] + least, "left"), at + LEAST_SENTENCES)
+    first = np.minimum(np.searchsorted(upto, upto[1:] - least, "right") - 1, at + 1 - LEAST_SENTENCES)
+    ahead, back = stop <= n, first >= 0
+    pairs = np.unique(np.concatenate([np.stack([at, stop], 1)[ahead], np.stack([first, at + 1], 1)[back]]), axis=0)
+    blob = b" ".join(words)
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    spans = begins[upto[pairs]] - [0, 1]
+    digest = xxhash.xxh3_128_digest
+    hashes = b"".join([digest(blob[a:b]) for a, b in spans.tolist()])
+    return pairs, np.frombuffer(hashes, np.int64).reshape(-1, 2)
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, starts, stops, hashes = [0], [], [], []
-        for text in batch.column(1):
-            _, a, b, h = runs(text.as_py() or "", least)
-            sizes.append(sizes[-1] + len(a))
-            starts.append(a)
-            stops.append(b)
-            hashes.append(h)
-        at = pa.array(sizes, pa.int32())
-
-        def listed(parts, kind, at=at):
-            return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else [], kind))
+        found = [runs(text.as_py() or "", least) for text in batch.column(2)]
+        at = pa.array(np.cumsum([0, *[len(p) for p, _ in found]]), pa.int32())
+
+        def listed(parts: list[np.ndarray], at=at) -> pa.ListArray:
+            return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else [], pa.int64()))
 
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), listed(starts, pa.int32()), listed(stops, pa.int32()), listed(hashes, pa.int64())], names=["row", "first", "past", "hash"]
+            [batch.column(0), batch.column(1), listed([(p[:, 0] << 32) | p[:, 1] for p, _ in found]), listed([h[:, 0] for _, h in found]), listed([h[:, 1] for _, h in found])],
+            names=["id", "t", "place", "h1", "h2"],
         )
 
 
 def _cut(text: str, gone: list[int]) -> tuple[str, int]:
-    spans = sentences(text)
+    ends, _, upto = sentences(text)
+    starts, before = [0, *ends], [0, *upto]
     drop = set(gone)
-    kept = "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in drop)
-    return kept.strip() if drop else text, sum(len(text[spans[i][0] : spans[i][1]].split()) for i in drop)
+    kept = [text[starts[i] : ends[i]] for i in range(len(ends)) if i not in drop]
+    return "".join([*kept, text[starts[-1] :]]).strip(), sum(upto[i] - before[i] for i in drop)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,36 +138,48 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_sentences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(row, gone): sentences to remove, by number, of every row that has any.
+    """(id, t, gone): sentences to remove, by number, of every row (doc_id, text hash) that has any.
 
-    ``row`` is the row's doc_id and text hash. A run's first place is the
-    smallest (doc_id, text hash, sentence); null ids come first.
+    A run's first place is the smallest (doc_id, text hash, sentence); null ids
+    come first. Runs that occur once go by a count of half their hash, before
+    anything else of them is grouped; a hot run is counted where it is read,
+    and the joins' sides are plain exchanges, whose hot hashes can be split.
     """
-    row = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
-    parts = docs.select(row.alias("row"), "text").mapInArrow(
-        lambda b: _run_batches(b, least), "row struct<id:long,t:long>, first array<int>, past array<int>, hash array<long>"
+    parts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text").mapInArrow(
+        lambda b: _run_batches(b, least), "id long, t long, place array<long>, h1 array<long>, h2 array<long>"
     )
     parts = stage_table(parts, "spans-runs")
-    every = parts.select("row", F.explode(F.arrays_zip("first", "past", "hash")).alias("r")).select("row", "r.first", "r.past", "r.hash")
-    repeated = every.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("kept")).where("n > 1").select("hash", "kept")
-    # written first, so that both sides of the join are plain exchanges whose hot hashes can be split
-    repeated = stage_table(repeated, "spans-repeated")
-    later = every.join(repeated, "hash").where(F.struct("row", "first") > F.col("kept")).select("row", "first", "past")
-    covered = later.groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("runs"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["past"] - 1)))))
-    return covered.select("row", gone.alias("gone"))
+    every = parts.select("id", "t", F.explode(F.arrays_zip("place", "h1", "h2")).alias("r")).select("id", "t", "r.place", "r.h1", "r.h2")
+    often = parts.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    often = stage_table(often, "spans-often")
+    shared = stage_table(every.join(often, "h1", "left_semi").select("id", "t", "place", "h1", "h2"), "spans-shared")
+    discard(parts, often)
+    place = F.struct("id", "t", "place")
+    first = shared.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").select("h1", "h2", "kept")
+    first = stage_table(first, "spans-first")
+    later = shared.join(first, ["h1", "h2"]).where(place > F.col("kept")).select("id", "t", "place")
+    covered = later.groupBy("id", "t").agg(F.collect_set("place").alias("places"))
+
+    def numbers(p):
+        return F.sequence(F.shiftright(p, 32), p.bitwiseAND(F.lit((1 << 32) - 1)) - 1)
+
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("places", numbers))))
+    covered = stage_table(covered.select("id", "t", gone.alias("gone")), "spans-gone")
+    discard(shared, first)
+    return covered
 
 
 def substring_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text, n_removed, n_words_removed) of every row, without sentences that an earlier repeated run has.
+    """(doc_id, text, n_removed, n_words_removed) of every row, without sentences that an earlier place of a run has.
 
     Of rows with the same doc_id and text all keep what their first has, as
     they can't be told apart. Null texts stay null and have no runs; texts of
-    fewer than ``least`` words have none; an empty table gives no rows; other
-    columns are not read. Nothing but hashes and numbers of sentences is
-    shuffled, besides each text once, to meet its own list.
+    fewer than ``least`` words, or without white space, have none; an empty
+    table gives no rows; other columns are not read. Nothing but hashes and
+    numbers of sentences is shuffled, besides each text once, to meet its own
+    list.
     """
-    gone = stage_table(repeated_sentences(docs, least).select("row.id", "row.t", "gone"), "spans-gone")
+    gone = repeated_sentences(docs, least)
     found = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
     met = found.join(gone, found["id"].eqNullSafe(gone["id"]) & (found["t"] == gone["t"]), "left")
     return met.select(found["doc_id"], found["text"], "gone").mapInArrow(_cut_batches, "doc_id long, text string, n_removed long, n_words_removed long")

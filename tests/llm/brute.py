@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -85,6 +86,37 @@ def components(prints, radius=4):
     return [least.get(root(i)) for i in range(len(prints))]
 
 
+def sentences(text):
+    """Words (start, end) of each sentence."""
+    out, now = [], []
+    words = list(re.finditer(r"\S+", text))
+    for i, m in enumerate(words):
+        now.append(m.span())
+        after = text[m.end() : words[i + 1].start()] if i + 1 < len(words) else ""
+        if m[0][-1] in ".!?" or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 8 == 0 or "\n" in after:
+            out.append(now)
+            now = []
+    return out + [now] * bool(now)
+
+
+def repeated(docs, least=20, fewest=2):
+    """Numbers of the sentences that go, of each of docs (id, text): all runs of all texts are compared, by their words."""
+    places = {}
+    for n, (_, text) in enumerate(docs):
+        parts = [[text[a:b].lower() for a, b in s] for s in sentences(text or "")]
+        for i in range(len(parts)):
+            for j in range(i + fewest, len(parts) + 1):
+                run = tuple(w for p in parts[i:j] for w in p)
+                if len(run) >= least:
+                    places.setdefault(run, []).append((n, i, j))
+    gone = [set() for _ in docs]
+    for found in places.values():
+        for n, i, j in found:
+            if (n, i) != min((m, k) for m, k, _ in found):
+                gone[n] |= set(range(i, j))
+    return gone
+
+
 def luhn(digits):
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 

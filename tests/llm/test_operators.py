@@ -208,26 +208,45 @@ def test_substring_dedup(odd, pairs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_sentences_cover_the_text(pairs):
+def test_sentences_equal_brute_force(pairs):
     for _, t in pairs:
-        assert "".join((t or "")[a:b] for a, b in substring_dedup.sentences(t or "")) == (t or "")
+        ends, words, upto = substring_dedup.sentences(t or "")
+        want = brute.sentences(t or "")
+        assert ends == [s[-1][1] for s in want]
+        assert [b - a for a, b in zip([0, *upto], upto, strict=False)] == [len(s) for s in want]
+        assert [w.decode() for w in words] == (t or "").lower().split() or "İ" in t
 
 
-def test_substring_dedup_equals_brute_force(spark):
+def test_substring_dedup_equals_all_runs(spark):
+    """Texts of a few sentences with and without marks, lines, copies within a text, passages that begin inside a sentence."""
     import random
 
     r = random.Random(5)
-    pool = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(3, 9))) + "." for _ in range(25)]
-    docs = [(i, " ".join(r.choice(pool) for _ in range(r.randint(1, 9)))) for i in range(60)]
-    seen, gone = {}, {}
-    runs = [(i, a, b, h) for i, t in docs for _, f, p, hs in [substring_dedup.runs(t, 12)] for a, b, h in zip(f, p, hs, strict=True)]
-    for i, a, _, h in sorted(runs, key=lambda x: (x[0], x[1])):
-        seen.setdefault(int(h), (i, int(a)))
-    for i, a, b, h in runs:
-        if seen[int(h)] != (i, int(a)):
-            gone.setdefault(i, set()).update(range(a, b))
-    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()}
-    assert got == {i: len(gone.get(i, ())) for i, _ in docs}
+    pool = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(1, 9))) + r.choice((".", "!", "", "\n", "?\n")) for _ in range(30)]
+    docs = [(i, r.choice(("", "Lead ")) + " ".join(r.choice(pool) for _ in range(r.randint(1, 9))).upper()[: r.randint(20, 400)]) for i in range(80)]
+    want = brute.repeated(docs, 12)
+    found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 12).collect()
+    got = {r.doc_id: (r.n_removed, r.n_words_removed, r.text) for r in found}
+    assert sum(map(len, want)) > 60 and not all(want)
+    for (i, text), gone in zip(docs, want, strict=True):
+        parts = brute.sentences(text)
+        kept = " ".join(text[a:b] for n, s in enumerate(parts) if n not in gone for a, b in s)
+        assert got[i][:2] == (len(gone), sum(len(parts[n]) for n in gone)) and got[i][2].split() == kept.split()
+
+
+def test_a_passage_is_found_whatever_surrounds_it(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(6)
+    for mark in (True, False):
+        passage = prose(r, 60)
+        if not mark:
+            passage = "".join(c for c in passage if c not in ".!?\n")
+        docs = [(1, f"{prose(r, 60)} and {passage}, then {prose(r, 60)}"), (2, f"{prose(r, 50)}.\n{passage}\n{prose(r, 50)}"), (3, prose(r, 200))]
+        got = {x.doc_id: x for x in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_words_removed >= 30
 
 
 def test_ftrl_equals_a_plain_loop():
