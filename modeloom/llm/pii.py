@@ -1,18 +1,21 @@
 """Personal data: base detectors, and a character-level LSTM with CRF that adds spans.
 
-Every span kind has a digit or an @ in it, so the tagger reads the stretches of
-a whole text around these characters, in overlapping windows. Each window is
-decoded, and for each character of the text the window decides in which it
-stands farthest from an edge. Runs of tags make spans, which must look like
-their kind; where one overlaps a base span, the base span stays.
+The tagger reads every character of every text, in overlapping windows. Each
+window is decoded, and for each character of the text the window decides in
+which it stands farthest from an edge. Runs of tags make spans. Only numbers
+are checked, by sums and counts: a card passes Luhn's sum, an address's parts
+are at most 255, a phone has 7 to 15 digits. Where a span overlaps a base span,
+the base span stays.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import inspect
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm.tagger import KINDS, WINDOW, Tagger, char_ids, trained
+from modeloom.llm import tagger
+from modeloom.llm._io import shared_dir
+from modeloom.llm.tagger import BATCH, CAUTION, EPOCHS, HIDDEN, KINDS, TRAIN_WINDOWS, Tagger, char_ids, trained
 
-TRIGGER = re.compile(r"[0-9@]")
-#: Characters read on either side of a trigger, and the step between windows.
-REACH, STRIDE = 44, 32
+#: Characters of a window and the step between windows; every character has half the overlap or more on either side of it.
+WINDOW, STRIDE = 384, 320
 #: Windows decoded at once.
-BATCH = 1024
+AT_ONCE = 192
+BASE = ("email", "ip", "card", "phone")
+DIGIT = re.compile("[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -81,99 +87,84 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return found
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text within REACH of a trigger, joined where they meet."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span's numbers can be of its kind."""
+    digits = "".join(DIGIT.findall(text))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(p in KNOWN_BYTES for p in parts)
+    return kind != "phone" or 7 <= len(digits) <= 15
 
 
-def looks_right(kind: str, text: str) -> bool:
-    digits = sum(c in "0123456789" for c in text)
-    if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]{2,}", text))
-    if kind == "ip":
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", text)) and all(int(p) <= 255 for p in text.split("."))
-    if kind == "card":
-        return bool(re.fullmatch(r"[0-9]{4}(?:[ -]?[0-9]{2,6}){2,4}", text)) and 13 <= digits <= 19 and luhn(re.sub(r"[ -]", "", text))
-    if kind == "phone":
-        return bool(re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", text)) and 9 <= digits <= 15 and bool(re.search(r"[ ().+-]", text))
-    return bool(re.fullmatch(r"[!-~]{12,}", text)) and digits >= 2 and any(c.isalpha() for c in text)
+KNOWN_BYTES = {str(n) for n in range(256)}
+
+
+def windows(size: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first and last-plus-one character that it decides on) of a text's windows; together they decide on each character once."""
+    half = (WINDOW - STRIDE) // 2
+    starts = range(0, max(1, size - WINDOW + STRIDE), STRIDE)
+    return [(a, min(a + WINDOW, size), a + half if a else 0, size if a == starts[-1] else a + STRIDE + half) for a in starts]
+
+
+def tags_of(texts: list[str], model: Tagger) -> list[np.ndarray]:
+    """The tag of every character of each text."""
+    ids = [char_ids(t) for t in texts]
+    tags = [np.zeros(len(i), np.int8) for i in ids]
+    asked = [(n, *w) for n, i in enumerate(ids) if len(i) for w in windows(len(i))]
+    asked.sort(key=lambda w: w[2] - w[1])  # alike in size, so little is padded
+    for at in range(0, len(asked), AT_ONCE):
+        part = asked[at : at + AT_ONCE]
+        rows = np.zeros((len(part), max(b - a for _, a, b, _, _ in part)), np.uint8)
+        for row, (n, a, b, _, _) in zip(rows, part, strict=True):
+            row[: b - a] = ids[n][a:b]
+        for row, (n, a, _, low, high) in zip(model.decode(rows, CAUTION), part, strict=True):
+            tags[n][low:high] = row[low - a : high - a]
+    return tags
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """The tagger's spans of each text, in order."""
-    rows, marks = [], []
-    parts = []
-    for n, text in enumerate(texts):
-        for a, b in stretches(text):
-            parts.append((n, a, b))
-            ids = char_ids(text[a:b])
-            for at in range(0, max(1, b - a - WINDOW + STRIDE), STRIDE):
-                part = ids[at : at + WINDOW]
-                rows.append(np.pad(part, (0, WINDOW - len(part))))
-                marks.append((len(parts) - 1, at))
-    out: list[list[Span]] = [[] for _ in texts]
-    if not rows:
-        return out
-    decoded = np.concatenate([model.decode(np.stack(rows[i : i + BATCH])) for i in range(0, len(rows), BATCH)])
-    tags = [np.zeros(b - a, np.int8) for _, a, b in parts]
-    depth = [np.full(b - a, -1) for _, a, b in parts]
-    inner = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for (k, at), row in zip(marks, decoded, strict=True):
-        size = min(WINDOW, len(tags[k]) - at)
-        # a text's own edge is no edge of a window
-        own = inner[:size].copy()
-        if at == 0:
-            own = np.maximum(own, np.arange(WINDOW)[::-1][:size])
-        if at + size == len(tags[k]):
-            own = np.maximum(own, np.arange(size))
-        deeper = own > depth[k][at : at + size]
-        tags[k][at : at + size][deeper] = row[:size][deeper]
-        depth[k][at : at + size][deeper] = own[deeper]
-    for (n, a, _), row in zip(parts, tags, strict=True):
-        kinds = (row + 1) // 2  # 0 outside, else kind + 1
-        begins = np.flatnonzero((kinds > 0) & ((np.r_[0, kinds[:-1]] != kinds) | (row % 2 == 1)))
-        for s in begins.tolist():
-            e = s + 1
-            while e < len(row) and kinds[e] == kinds[s] and row[e] % 2 == 0:
-                e += 1
-            kind, text = KINDS[kinds[s] - 1], texts[n]
-            s, e = a + s, a + e
-            while s < e and (text[s].isspace() or text[s] in "\"'"):
-                s += 1
-            while e > s and (text[e - 1].isspace() or text[e - 1] in ".,;:!?\"'"):
-                e -= 1
-            if looks_right(kind, text[s:e]):
-                out[n].append((kind, s, e))
+    """The tagger's spans of each text, in order; quotes, white space and, but for secrets, marks at their ends don't count."""
+    out: list[list[Span]] = []
+    for text, row in zip(texts, tags_of(texts, model), strict=True):
+        found: list[Span] = []
+        if row.any():
+            kinds = (row + 1) // 2  # 0 outside, else kind + 1
+            before = np.r_[np.int8(0), kinds[:-1]]
+            begins = np.flatnonzero((kinds > 0) & ((before != kinds) | (row % 2 == 1)))
+            goes_on = np.flatnonzero((kinds == 0) | (row % 2 == 1) | (before != kinds))
+            ends = np.r_[goes_on, len(row)][np.searchsorted(goes_on, begins, "right")]
+            for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
+                kind = KINDS[kinds[s] - 1]
+                loose = "\"'.,;:" if kind == "secret" else "\"'.,;:!?"
+                while s < e and (text[s].isspace() or text[s] in loose):
+                    s += 1
+                while e > s and (text[e - 1].isspace() or text[e - 1] in loose):
+                    e -= 1
+                if e - s > 3 and plausible(kind, text[s:e]):
+                    found.append((kind, s, e))
+        out.append(found)
     return out
 
 
 def find(texts: list[str], model: Tagger) -> list[tuple[dict[str, list[Span]], list[Span]]]:
     """For each text its base spans by kind, and all spans: the base ones, and tagged ones that overlap no other."""
-    hot = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
-    added = dict(zip(hot, tagged_spans([texts[i] for i in hot], model), strict=True))
     out = []
-    for i, text in enumerate(texts):
-        base = base_spans(text) if i in added else {k: [] for k in ("email", "ip", "card", "phone")}
-        spans = [s for kind in ("email", "ip", "card", "phone") for s in base[kind]]
+    order = {name: n for n, name in enumerate(KINDS)}
+    for text, tagged in zip(texts, tagged_spans(texts, model), strict=True):
+        base = base_spans(text)
+        spans = [s for kind in BASE for s in base[kind]]
         taken = sorted((a, b) for _, a, b in spans)
-        edge = 0
         extra = []
         k = reach = 0
-        for kind, a, b in sorted(added.get(i, ()), key=lambda s: s[1:]):
+        for kind, a, b in tagged:
             while k < len(taken) and taken[k][0] < b:
                 reach = max(reach, taken[k][1])
                 k += 1
-            if a >= reach and a >= edge:
+            if a >= reach:
                 extra.append((kind, a, b))
-                edge = b
-        order = {name: n for n, name in enumerate(KINDS)}
+                reach = b
         out.append((base, sorted([*spans, *extra], key=lambda s: (order[s[0]], s[1]))))
     return out
 
@@ -182,17 +173,26 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _ in batches:
+        out = io.BytesIO()
+        np.savez(out, **trained().p)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+
+
 @functools.lru_cache(maxsize=1)
 def trained_weights(spark: SparkSession) -> dict[str, np.ndarray]:
-    """The tagger's weights, trained once a session by one task: a worker's numpy keeps to one thread."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            out = io.BytesIO()
-            np.savez(out, **trained().p)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+    """The tagger's weights, trained by one task (a worker's numpy keeps to one thread) and kept in the shared folder for later sessions.
 
-    row = spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary").first()
+    The file is named after the training's parameters and this code, so a
+    change trains anew.
+    """
+    mark = zlib.crc32(inspect.getsource(tagger).encode())
+    path = f"{shared_dir(spark)}/pii-weights-{TRAIN_WINDOWS}-{EPOCHS}-{BATCH}-{HIDDEN}-{mark:08x}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.range(0, 1, 1, 1).mapInArrow(_train_batches, "weights binary").write.mode("overwrite").parquet(path)
+    row = spark.read.schema("weights binary").parquet(path).first()
     with np.load(io.BytesIO(bytes(row[0]))) as saved:
         return dict(saved)
 
@@ -207,25 +207,29 @@ def _find_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
     model = _model(shared)
     for batch in batches:
         found = find([t.as_py() or "" for t in batch.column(1)], model)
-        counts = [[len(base[kind]) for base, _ in found] for kind in ("email", "ip", "card", "phone")]
-        shas = [hashlib.sha256(_listed([s for kind in ("email", "ip", "card", "phone") for s in base[kind]]).encode()).hexdigest() for base, _ in found]
+        counts = [[len(base[kind]) for base, _ in found] for kind in BASE]
+        shas = [hashlib.sha256(_listed([s for kind in BASE for s in base[kind]]).encode()).hexdigest() for base, _ in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array([_listed(s) for _, s in found], pa.string())],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-        )
+            [
+                batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()),
+                pa.array([_listed(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64()),
+            ],
+            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
+        )
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row.
 
-    Spans are code points of the whole text, ends exclusive. Null counts as
-    empty, without spans; repeated rows give the same result each; an empty
-    table gives none; only doc_id and text are read. No shuffle; the trained
-    weights (about 30 KB) are broadcast.
+    Spans are code points of the whole text, ends exclusive; ``n_spans`` counts
+    base and added ones. Null counts as empty, without spans; repeated rows give
+    the same result each; an empty table gives none; only doc_id and text are
+    read. No shuffle; the trained weights (about 40 KB) are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained_weights(docs.sparkSession))
     return docs.select("doc_id", "text").mapInArrow(
-        lambda b: _find_batches(b, shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        lambda b: _find_batches(b, shared),
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long",
     )
 
 
@@ -240,7 +244,11 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by marks, and ``n_chars``, if there, counted anew; null texts stay null."""
+    """``docs`` with personal data in ``text`` replaced by marks, and ``n_chars``, if there, counted anew.
+
+    Null texts stay null; repeated rows are each cleaned alike; an empty table
+    gives no rows; all other columns pass as they are, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trained_weights(docs.sparkSession))
     place = docs.columns.index("text")
 
