@@ -238,7 +238,7 @@ def lmd_local_mean(spark, sf_dir):
     "autocorrelation",
     f"""WITH {EVENTS}, m AS (SELECT series_id, AVG(value) mu, var_pop(value) v, COUNT(*) n FROM sig GROUP BY 1)
 SELECT a.series_id, b.t - a.t AS lag, round(SUM((a.value - mu) * (b.value - mu)) / ANY_VALUE(v) / (ANY_VALUE(n) - (b.t - a.t)), 6) + 0.0::DOUBLE AS r
-FROM sig a JOIN m USING (series_id) JOIN sig b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 24 GROUP BY 1, 2""",
+FROM sig a JOIN m USING (series_id) JOIN sig b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + n // 2 GROUP BY 1, 2""",
 )
 def autocorrelation(spark, sf_dir):
     return correlation.autocorrelation(signals.events_hourly(spark, sf_dir))
@@ -262,9 +262,9 @@ def pearson(spark, sf_dir):
 
 @query(
     "cross_correlation",
-    f"""WITH {EVENTS}, {PAIR} SELECT s.series_id, s.t - y.t AS lag, round(SUM(s.value * y.value) / ANY_VALUE(n), 4) + 0.0::DOUBLE AS r
-FROM sig s JOIN len USING (series_id) JOIN y ON y.series_id = s.series_id AND abs(s.t - y.t) <= 12 GROUP BY 1, 2""",
-    places=4,
+    f"""WITH {EVENTS}, {PAIR} SELECT s.series_id, s.t - y.t AS lag, round(SUM(s.value * y.value) / ANY_VALUE(n), 1) + 0.0::DOUBLE AS r
+FROM sig s JOIN len USING (series_id) JOIN y ON y.series_id = s.series_id GROUP BY 1, 2""",
+    places=1,
 )
 def cross_correlation(spark, sf_dir):
     return correlation.cross_correlation(*_pair(spark, sf_dir))
@@ -370,10 +370,14 @@ def orthogonality_index(spark, sf_dir):
     return entropy.orthogonality_index(modes)
 
 
+#: Fourier sums of every bin of whole series.
+COEFFICIENTS = """SUM(value * cos(2 * pi() * ((k * t) % n) / n)) AS re, -SUM(value * sin(2 * pi() * ((k * t) % n) / n)) AS im FROM sig JOIN len USING (series_id)
+CROSS JOIN LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS k) GROUP BY 1, 2"""
+
+
 @query(
     "dft",
-    f"""WITH {USERS} SELECT series_id, k AS bin, round(SUM(value * cos(2 * pi() * k * t / n)), 6) + 0.0::DOUBLE AS re, round(-SUM(value * sin(2 * pi() * k * t / n)), 6) + 0.0::DOUBLE AS im,
-round(pow(SUM(value * cos(2 * pi() * k * t / n)), 2) + pow(SUM(value * sin(2 * pi() * k * t / n)), 2), 6) + 0.0::DOUBLE AS power FROM sig JOIN len USING (series_id) CROSS JOIN range(0, 8) r(k) GROUP BY 1, 2""",
+    f"""WITH {USERS}, c AS (SELECT series_id, k, {COEFFICIENTS}) SELECT series_id, k AS bin, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im, round(re * re + im * im, 6) + 0.0::DOUBLE AS power FROM c""",
 )
 def dft(spark, sf_dir):
     return spectra.dft(signals.users_daily(spark, sf_dir))
@@ -381,8 +385,7 @@ def dft(spark, sf_dir):
 
 @query(
     "amplitude_spectrum",
-    f"""WITH {EVENTS} SELECT series_id, k AS bin, round(k * 24.0::DOUBLE / ANY_VALUE(n), 6) + 0.0::DOUBLE AS freq,
-round(2 * sqrt(pow(SUM(value * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(SUM(value * sin(2 * pi() * ((k * t) % n) / n)), 2)) / ANY_VALUE(n), 6) + 0.0::DOUBLE AS amplitude FROM sig JOIN len USING (series_id) CROSS JOIN range(0, 40) r(k) GROUP BY 1, 2""",
+    f"""WITH {EVENTS}, c AS (SELECT series_id, k, ANY_VALUE(n) AS n, {COEFFICIENTS}) SELECT series_id, k AS bin, round(k * 24.0::DOUBLE / n, 6) + 0.0::DOUBLE AS freq, round(2 * sqrt(re * re + im * im) / n, 6) + 0.0::DOUBLE AS amplitude FROM c""",
 )
 def amplitude_spectrum(spark, sf_dir):
     return spectra.amplitude_spectrum(signals.events_hourly(spark, sf_dir), fs=24.0)
@@ -411,7 +414,7 @@ def hilbert_spectrum(spark, sf_dir):
 
 @query(
     "local_peaks",
-    f"""WITH {EVENTS}, p AS (SELECT series_id, k AS bin, round(pow(SUM(value * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(SUM(value * sin(2 * pi() * ((k * t) % n) / n)), 2), 3) AS power FROM sig JOIN len USING (series_id) CROSS JOIN range(0, 60) r(k) GROUP BY 1, 2),
+    f"""WITH {EVENTS}, c AS (SELECT series_id, k, {COEFFICIENTS}), p AS (SELECT series_id, k AS bin, re * re + im * im AS power FROM c),
 q AS (SELECT *, lag(power) OVER (PARTITION BY series_id ORDER BY bin) AS a, lead(power) OVER (PARTITION BY series_id ORDER BY bin) AS b FROM p), z AS (SELECT series_id, bin, power, row_number() OVER (PARTITION BY series_id ORDER BY power DESC, bin) AS rank FROM q WHERE power > a AND power > b)
 SELECT series_id, bin, round(power / 1e6, 3) + 0.0::DOUBLE AS power, rank FROM z WHERE rank <= 5""",
     places=3,
