@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators.kernels import chirp, fields, seasonal, sifting, spectral, variational
+from modeloom.operators.kernels import chirp, fields, packets, seasonal, sifting, spectral, timefreq, variational
 from modeloom.operators.kernels.numeric import analytic
 from modeloom.schema import MODES
 
@@ -159,14 +159,95 @@ def vncmd(signal: DataFrame, initial: DataFrame, fs: float = 1.0, **params) -> D
     return pair.applyInPandas(run, "series_id string, mode int, t bigint, value double, inst_freq double, inst_amp double")
 
 
-def kurtogram(signal: DataFrame, levels: int = 5) -> DataFrame:
-    """(series_id, level, band, kurtosis)."""
+def _by_series(signal: DataFrame, run: Callable[[np.ndarray, np.ndarray], dict[str, object]], schema: str) -> DataFrame:
+    """Columns that ``run`` makes of a series' samples and their times, beside its id."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = spectral.kurtogram(pdf.sort_values("t", kind="stable")["value"].to_numpy(float), levels)
-        return pd.DataFrame([(pdf["series_id"].iloc[0], *r) for r in rows], columns=["series_id", "level", "band", "kurtosis"])
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        found = run(pdf["value"].to_numpy(float), pdf["t"].to_numpy(np.int64))
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], **found})
+
+    return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(one, f"series_id string, {schema}")
+
+
+def kurtogram(signal: DataFrame, levels: int = 5, fs: float = 1.0) -> DataFrame:
+    """(series_id, level, band, centre, width, kurtosis) of every band of the half-and-third packet tree."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        level, band, centre, width, k = zip(*packets.kurtogram(x, levels), strict=True)
+        return {"level": level, "band": band, "centre": np.array(centre) * fs, "width": np.array(width) * fs, "kurtosis": k}
+
+    return _by_series(signal, run, "level double, band int, centre double, width double, kurtosis double")
+
+
+def band_envelope(signal: DataFrame, level: float, frequency: float) -> DataFrame:
+    """(series_id, k, re, im): the envelope of the kurtogram's band at a level and frequency (cycles a sample), thinned."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        z = packets.band_envelope(x, level, frequency)[0]
+        return {"k": np.arange(len(z)), "re": z.real, "im": z.imag}
+
+    return _by_series(signal, run, "k bigint, re double, im double")
+
+
+def split_bands(signal: DataFrame, parts: int = 2) -> DataFrame:
+    """(series_id, band, k, re, im): two half bands or three third bands of the analytic filter bank, thinned as much."""
+    cut = {2: packets.halves, 3: packets.thirds}[parts]
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        bands = cut(x, packets.analytic_filters())
+        z = np.concatenate(bands)
+        return {"band": np.repeat(np.arange(parts, dtype=np.int32), [len(b) for b in bands]), "k": np.concatenate([np.arange(len(b)) for b in bands]), "re": z.real, "im": z.imag}
+
+    return _by_series(signal, run, "band int, k bigint, re double, im double")
+
+
+def local_frequency(signal: DataFrame) -> DataFrame:
+    """(series_id, t, inst_amp, inst_freq): amplitude and frequency (cycles a sample) by central phase differences."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        amp, freq = timefreq.local_frequency(x)
+        return {"t": t, "inst_amp": amp, "inst_freq": freq}
+
+    return _by_series(signal, run, "t bigint, inst_amp double, inst_freq double")
+
+
+def two_tones(signal: DataFrame) -> DataFrame:
+    """(series_id, t, a1, f1, a2, f2): amplitudes and frequencies of the two parts of a beat."""
 
-    return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, level int, band int, kurtosis double")
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        return {"t": t, **dict(zip(("a1", "f1", "a2", "f2"), timefreq.two_tones(x), strict=True))}
+
+    return _by_series(signal, run, "t bigint, a1 double, f1 double, a2 double, f2 double")
+
+
+def short_time(signal: DataFrame, bins: int = 512, window: int = 32) -> DataFrame:
+    """(series_id, t, bin, re, im): the short-time spectrum; bin 0 is half the sampling rate below zero frequency, bin ``bins`` / 2 zero."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        z = timefreq.stft(x, bins, window)
+        return {"t": np.tile(t, bins), "bin": np.repeat(np.arange(bins), len(t)), "re": z.real.ravel(), "im": z.imag.ravel()}
+
+    return _by_series(signal, run, "t bigint, bin bigint, re double, im double")
+
+
+def ridges(signal: DataFrame, bins: int = 512, window: int = 32, jump: int = 5) -> DataFrame:
+    """(series_id, t, freq): the strongest ridge of each short-time spectrum, in cycles a sample."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        return {"t": t, "freq": (timefreq.ridge(timefreq.stft(x, bins, window), jump) - bins // 2) / bins}
+
+    return _by_series(signal, run, "t bigint, freq double")
+
+
+def phase_crossings(phases: DataFrame) -> DataFrame:
+    """(series_id, k, t): samples at which a phase (its value, in radians) has turned once more, to the nearest."""
+
+    def run(x: np.ndarray, t: np.ndarray) -> dict[str, object]:
+        at = timefreq.phase_crossings(x)
+        return {"k": np.arange(len(at)), "t": t[at]}
+
+    return _by_series(phases, run, "k bigint, t bigint")
 
 
 #: Pairs warped at a time.
@@ -251,6 +332,19 @@ def transform(signal: DataFrame, kind: str = "fft") -> DataFrame:
     return signal.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, bin bigint, re double, im double")
 
 
+def transform_images(images: DataFrame, inverse: bool = False) -> DataFrame:
+    """(image_id, y, x, re, im): the two-dimensional Fourier transform of images, or the inverse one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, at = _grid(pdf, ["y", "x"])
+        z = (np.fft.ifft2 if inverse else np.fft.fft2)(grid)
+        y, x = np.meshgrid(*at, indexing="ij")
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.ravel(), "x": x.ravel(), "re": z.real.ravel(), "im": z.imag.ravel()})
+
+    kind = dict(images.dtypes)["image_id"]
+    return images.select("image_id", "y", "x", "value").groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, re double, im double")
+
+
 def prewhiten(signal: DataFrame, order: int = 100) -> DataFrame:
     """(series_id, t, value): what an autoregression of the given order, fitted by Yule and Walker's equations, doesn't foresee."""
 

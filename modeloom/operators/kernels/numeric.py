@@ -54,6 +54,18 @@ def hermite(x: np.ndarray, y: np.ndarray, slope: np.ndarray, at: np.ndarray) ->
     return (1 + 2 * u) * (1 - u) ** 2 * y[i] + u * (1 - u) ** 2 * w * slope[i] + u * u * (3 - 2 * u) * y[i + 1] + u * u * (u - 1) * w * slope[i + 1]
 
 
+def spline_through_three(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The natural cubic spline through three knots."""
+    (h0, h1), (d0, d1) = np.diff(x), np.diff(y) / np.diff(x)
+    bend = 3 * (d1 - d0) / (h0 + h1)  # the middle knot's second derivative; the outer ones have none
+    right = at >= x[1]
+    h, d = np.where(right, h1, h0), np.where(right, d1, d0)
+    u = np.where(right, x[2] - at, at - x[0])  # from the outer knot
+    start = np.where(right, y[2], y[0])
+    slope = np.where(right, -d, d) - bend * h / 6
+    return start + slope * u + bend * u**3 / (6 * h)
+
+
 def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Monotone cubic pieces: slopes are weighted harmonic means, zero at turns."""
     if len(x) < 3:

@@ -330,22 +330,6 @@ def imd(x, threshold: float = 1.6, max_modes: int = 4, min_band: float = 0.02, p
     return np.array([*out, x - np.sum(out, axis=0)]) if out else x[None]
 
 
-def kurtogram(x, levels: int = 5):
-    """(level, band, kurtosis): spectral kurtosis of the envelope in 2^level equal bands, and which is largest."""
-    x = np.asarray(x, float)
-    f = np.fft.fft(x - x.mean())
-    n = len(x)
-    rows = []
-    for level in range(levels + 1):
-        cuts = np.linspace(0, n // 2, 2**level + 1).astype(int)
-        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            z = np.zeros(n, complex)
-            z[lo + (lo == 0) : hi] = 2 * f[lo + (lo == 0) : hi]
-            e = np.abs(np.fft.ifft(z)) ** 2
-            rows.append((level, b, max(0.0, float((e**2).mean() / max(e.mean() ** 2, 1e-300) - 2))))
-    return rows
-
-
 def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:
     """Dynamic time warping distance with absolute differences, within ``window`` samples of the diagonal."""
     m, n = len(a), len(b)

@@ -142,3 +142,60 @@ def multichannel(spark: SparkSession, duration: float = 1.0, sampling_rate: int
     shared = 0.25 * F.cos(2 * PI * 36 * time)
     forms = F.array(F.cos(2 * PI * 2 * time) + shared, F.cos(2 * PI * 24 * time) + shared)
     return spark.range(int(duration * sampling_rate)).select(F.lit("channels").alias("series_id"), F.col("id").alias("t"), F.posexplode(forms).alias("channel", "value")).select("series_id", "channel", "t", "value")
+
+
+#: Sums of waves along the axes: (first rate, second rate, third rate, whether the third is a cosine).
+WAVES = {
+    1: (4.0, 1.0, 1 / 24, True), 2: (1.0, 3.5, 1 / 16, True), 3: (1 / 24, 1 / 5, 1.0, False), 4: (1 / 60, 1 / 16, 1 / 32, False), 5: (8.0, 16.0, 1 / 32, False), 6: (2.0, 6.0, 1 / 12, True), 7: (3.0, 9.0, 1 / 8, True),
+}
+CUBE_WAVES = {1: (3.5, 1.0, 1 / 24), 2: (5.0, 1.0, 1 / 16), 3: (2.0, 4.0, 1 / 24), 4: (6.0, 2.0, 1 / 24), 5: (1.5, 5.0, 1 / 24), 6: (8.0, 3.0, 1 / 16)}
+
+
+def _standard(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Values less their mean over their deviation, each channel for itself."""
+    stats = df.groupBy(*keys).agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
+    return df.join(F.broadcast(stats), keys).withColumn("value", (F.col("value") - F.col("mu")) / F.col("sd")).drop("mu", "sd")  # a row a channel
+
+
+def image_stack(spark: SparkSession, cases: tuple[int, ...] = (1, 2, 3), low: float = 0.0, high: float = 10.0, sampling_rate: int = 256) -> DataFrame:
+    """(image_id, channel, y, x, value): a channel for each case of WAVES, standardised."""
+    step = (high - low) / (sampling_rate - 1)
+    y, x = F.floor(F.col("id") / sampling_rate), F.col("id") % sampling_rate
+
+    def wave(case: int) -> Column:
+        a, b, c, cosine = WAVES[case]
+        third = F.cos if cosine else F.sin
+        return sum((F.sin(a * (low + v * step)) + F.sin(b * (low + v * step)) + third(c * (low + v * step)) for v in (x, y)), F.lit(0.0))
+
+    cells = spark.range(sampling_rate**2).select(F.lit("stack").alias("image_id"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.posexplode(F.array(*map(wave, cases))).alias("channel", "value"))
+    return _standard(cells, ["image_id", "channel"]).select("image_id", "channel", "y", "x", "value")
+
+
+def cube_stack(spark: SparkSession, cases: tuple[int, ...] = (1, 2, 3), low: float = 0.0, high: float = 10.0, sampling_rate: int = 30) -> DataFrame:
+    """(vol_id, channel, z, y, x, value): a channel for each case of CUBE_WAVES, standardised."""
+    n, step = sampling_rate, (high - low) / (sampling_rate - 1)
+    z, y, x = F.floor(F.col("id") / (n * n)), F.floor(F.col("id") / n) % n, F.col("id") % n
+
+    def wave(case: int) -> Column:
+        a, b, c = CUBE_WAVES[case]
+        return sum((F.sin(a * (low + v * step)) + F.sin(b * (low + v * step)) + F.cos(c * (low + v * step)) for v in (x, y, z)), F.lit(0.0))
+
+    cells = spark.range(n**3).select(F.lit("stack").alias("vol_id"), z.cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.posexplode(F.array(*map(wave, cases))).alias("channel", "value"))
+    return _standard(cells, ["vol_id", "channel"]).select("vol_id", "channel", "z", "y", "x", "value")
+
+
+def points(spark: SparkSession, number: int = 200, dim: int = 2, seed: int = 42) -> DataFrame:
+    """(id, features): Gaussian points under a random linear map, which is the same for all."""
+    import random
+
+    r = random.Random(seed)
+    rows = [[r.random() for _ in range(dim)] for _ in range(dim)]
+    drawn = spark.range(number).select("id", F.array(*[F.randn(seed + k) for k in range(dim)]).alias("z"))
+    return drawn.select("id", F.array(*[sum((w * F.get("z", F.lit(k)) for k, w in enumerate(row)), F.lit(0.0)) for row in rows]).alias("features"))
+
+
+def wind_record(spark: SparkSession, path: str, step: float = 0.05) -> DataFrame:
+    """(series_id, t, time, value): the first column of a headless CSV file, a sample each ``step`` seconds, in the file's order."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("t", "line")).where(F.trim("line") != "")
+    value = F.split("line", ",")[0].cast("double")
+    return lines.select(F.lit("wind").alias("series_id"), F.col("t").cast("bigint").alias("t"), (F.col("t") * step).alias("time"), value.alias("value"))
