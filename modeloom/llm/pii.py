@@ -28,9 +28,9 @@ from modeloom.llm._io import shared_dir
 from modeloom.llm.tagger import BATCH, CAUTION, EPOCHS, HIDDEN, KINDS, TRAIN_WINDOWS, Tagger, char_ids, trained
 
 #: Characters of a window and the step between windows; every character has half the overlap or more on either side of it.
-WINDOW, STRIDE = 384, 320
+WINDOW, STRIDE = 512, 448
 #: Windows decoded at once.
-AT_ONCE = 192
+AT_ONCE = 512
 BASE = ("email", "ip", "card", "phone")
 DIGIT = re.compile("[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")

@@ -17,11 +17,11 @@ KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a labelled window.
 WINDOW = 128
-HIDDEN, EMBEDDED = 20, 12
+HIDDEN, EMBEDDED = 12, 12
 #: Printable ASCII has ids from 3; 0 pads, 1 is any letter beyond ASCII, 2 anything else.
 CHARS = 3 + 95
 #: Labelled windows made for training, passes over them, and windows of an update.
-TRAIN_WINDOWS, EPOCHS, BATCH = 4_500, 9, 64
+TRAIN_WINDOWS, EPOCHS, BATCH = 6_000, 12, 64
 #: What a span must score above its absence: the labelled windows have far more spans than texts do.
 CAUTION = 0.25
 
