@@ -34,10 +34,9 @@ from modeloom.llm.bpe import Memo
 LEAST_WORDS, LEAST_SENTENCES = 20, 2
 #: One word in how many ends a sentence without a mark.
 PICK = 8
-MEMO_WORDS = 200_000
+MEMO_WORDS = 250_000
 TOKEN = re.compile(r"\n|\S+")
 MARKS = (".", "!", "?")
-Row = tuple[list[int], list[bytes], list[int]]
 
 
 def _known(word: str) -> tuple[bytes, bool]:
@@ -51,47 +50,56 @@ def _words() -> Memo:
     return Memo(_known, MEMO_WORDS)
 
 
-def sentences(text: str) -> Row:
-    """Ends of a text's sentences, its words lower-cased, and how many of them there are up to each sentence's end.
+def sentences(text: str) -> tuple[tuple[bytes, ...], np.ndarray]:
+    """A text's words, lower-cased, and how many of them there are up to each sentence's end.
 
     A sentence ends after a word with . ! or ? at its end, at a line's end, and
     after words that a hash picks, one in PICK: all signs of the place itself,
     so a repeated passage has the same sentences inside it whatever surrounds
-    it, with or without marks. White space belongs to the sentence after it.
+    it, with or without marks.
     """
     memo = _words()
-    ends: list[int] = []
-    words: list[bytes] = []
-    upto: list[int] = []
-    last, over = 0, True
+    known: list[tuple[bytes, bool]] = []
+    lines: list[int] = []
+    for line in text.split("\n"):
+        known += [memo[w] if len(w) < 64 else _known(w) for w in line.split()]
+        lines.append(len(known) - 1)
+    if not known:
+        return (), np.zeros(0, np.int64)
+    words, ends = zip(*known, strict=True)
+    over = np.fromiter(ends, bool, len(ends))
+    lines = np.array(lines)
+    over[lines[lines >= 0]] = True
+    return words, np.flatnonzero(over) + 1
+
+
+def places(text: str) -> list[int]:
+    """The characters before which sentences end; white space belongs to the sentence after it."""
+    ends, last, over = [], 0, True
     for m in TOKEN.finditer(text):
         token = m[0]
         if token == "\n":
             ends_here = not over
         else:
-            low, ends_here = memo[token] if len(token) < 64 else _known(token)
-            words.append(low)
-            last, over = m.end(), False
+            ends_here, last, over = _known(token)[1], m.end(), False
         if ends_here:
             ends.append(last)
-            upto.append(len(words))
             over = True
-    if not over:
-        ends.append(last)
-        upto.append(len(words))
-    return ends, words, upto
+    return ends if over else [*ends, last]
 
 
 def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """First sentence and sentence past the last (rows of two), and hash (two longs), of each shortest run of a text."""
-    _, words, ends = sentences(text)
-    upto = np.array([0, *ends])
+    words, ends = sentences(text)
+    upto = np.concatenate([[0], ends])
     n = len(ends)
     at = np.arange(n)
     stop = np.maximum(np.searchsorted(upto, upto[:-1] + least, "left"), at + LEAST_SENTENCES)
     first = np.minimum(np.searchsorted(upto, upto[1:] - least, "right") - 1, at + 1 - LEAST_SENTENCES)
-    ahead, back = stop <= n, first >= 0
-    pairs = np.unique(np.concatenate([np.stack([at, stop], 1)[ahead], np.stack([first, at + 1], 1)[back]]), axis=0)
+    back = at[first >= 0]
+    back = back[stop[first[back]] != back + 1]  # the others are shortest runs forwards too
+    ahead = at[stop <= n]
+    pairs = np.concatenate([np.stack([ahead, stop[ahead]], 1), np.stack([first[back], back + 1], 1)])
     blob = b" ".join(words)
     begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
     spans = begins[upto[pairs]] - [0, 1]
@@ -115,11 +123,11 @@ def _run_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
 
 
 def _cut(text: str, gone: list[int]) -> tuple[str, int]:
-    ends, _, upto = sentences(text)
-    starts, before = [0, *ends], [0, *upto]
+    ends = places(text)
+    starts, before = [0, *ends], [0, *sentences(text)[1].tolist()]
     drop = set(gone)
     kept = [text[starts[i] : ends[i]] for i in range(len(ends)) if i not in drop]
-    return "".join([*kept, text[starts[-1] :]]).strip(), sum(upto[i] - before[i] for i in drop)
+    return "".join([*kept, text[starts[-1] :]]).strip(), sum(before[i + 1] - before[i] for i in drop)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

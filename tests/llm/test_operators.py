@@ -222,7 +222,7 @@ def test_tagger_decodes_the_best_path():
     assert np.array_equal(model.decode(ids), model.decode(ids)) and model.decode(ids).any()
 
 
-@pytest.mark.parametrize("size", [1, 383, 384, 385, 704, 705, 5_000])
+@pytest.mark.parametrize("size", [1, 511, 512, 513, 960, 961, 5_000])
 def test_windows_decide_on_each_character_once(size):
     decided = [c for a, b, low, high in pii.windows(size) for c in range(low, high)]
     assert decided == list(range(size))
@@ -290,9 +290,9 @@ def test_substring_dedup(odd, pairs, empty):
 
 def test_sentences_equal_brute_force(pairs):
     for _, t in pairs:
-        ends, words, upto = substring_dedup.sentences(t or "")
+        words, upto = substring_dedup.sentences(t or "")
         want = brute.sentences(t or "")
-        assert ends == [s[-1][1] for s in want]
+        assert substring_dedup.places(t or "") == [s[-1][1] for s in want]
         assert [b - a for a, b in zip([0, *upto], upto, strict=False)] == [len(s) for s in want]
         assert [w.decode() for w in words] == (t or "").lower().split() or "İ" in t
 
@@ -302,12 +302,12 @@ def test_substring_dedup_equals_all_runs(spark):
     import random
 
     r = random.Random(5)
-    pool = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(1, 9))) + r.choice((".", "!", "", "\n", "?\n")) for _ in range(30)]
+    pool = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(3, 9))) + r.choice((".", "!", "", "\n", "?\n")) for _ in range(7)]
     docs = [(i, r.choice(("", "Lead ")) + " ".join(r.choice(pool) for _ in range(r.randint(1, 9))).upper()[: r.randint(20, 400)]) for i in range(80)]
     want = brute.repeated(docs, 12)
     found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 12).collect()
     got = {r.doc_id: (r.n_removed, r.n_words_removed, r.text) for r in found}
-    assert sum(map(len, want)) > 60 and not all(want)
+    assert sum(map(len, want)) > 30 and not all(want)
     for (i, text), gone in zip(docs, want, strict=True):
         parts = brute.sentences(text)
         kept = " ".join(text[a:b] for n, s in enumerate(parts) if n not in gone for a, b in s)
