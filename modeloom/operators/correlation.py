@@ -91,9 +91,20 @@ def lag_matrix(signal: DataFrame, lags: int) -> DataFrame:
 
 
 def lag_covariance(signal: DataFrame, lags: int) -> DataFrame:
-    """(series_id, i, j, value): products of the trajectory matrix's columns, summed over its rows."""
-    pairs = trajectory(signal, lags).select("series_id", "v", F.posexplode("v").alias("i", "x")).select("series_id", "i", "x", F.posexplode("v").alias("j", "y"))
-    return pairs.groupBy("series_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """(series_id, i, j, value): products of the trajectory matrix's columns, summed over its rows.
+
+    Columns i and i + m share the products x[t] x[t + m]: a sample makes one row
+    for each m, and each i sums those of its own stretch of samples.
+    """
+    ahead = local(signal, 0, lags - 1, v=lambda w: F.collect_list("value").over(w.rowsBetween(0, lags - 1)))
+    each = ahead.join(lengths(signal), "series_id").where(F.col("n") >= lags).select("series_id", "t", "n", "value", F.posexplode("v").alias("m", "y"))
+    t, m, last = F.col("t"), F.col("m"), F.col("n") - lags
+    product = F.col("value") * F.col("y")
+    sums = [F.sum(F.when((t >= i) & (t <= last + i) & (m < lags - i), product)).alias(f"s{i}") for i in range(lags)]
+    stretched = each.groupBy("series_id", "m").agg(*sums).select("series_id", "m", F.posexplode(F.array(*[f"s{i}" for i in range(lags)])).alias("i", "value")).where(F.col("value").isNotNull())
+    i, j = F.col("i").cast("bigint"), (F.col("i") + F.col("m")).cast("bigint")
+    upper = stretched.select("series_id", i.alias("i"), j.alias("j"), "value")
+    return upper.unionByName(stretched.where("m > 0").select("series_id", j.alias("i"), i.alias("j"), "value"))
 
 
 def diagonal_average(matrix: DataFrame, reverse: bool = True) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modeloom.functions.arrays import dot
@@ -38,25 +42,49 @@ def kernel_matrix(rows: DataFrame, others: DataFrame, kernel: str = "linear", pa
     return _against(rows, others).select("id", "other_id", KERNELS[kernel]("features", "other", par).alias("value"))
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows: for every pair of features how many rows there are, and the sums of either and of their product, less the first row."""
+    n, base, sums, products = 0, None, None, None
+    for batch in batches:
+        x = np.array(batch.column(0).to_pylist(), float)
+        if not len(x):
+            continue
+        if base is None:
+            base, sums, products = x[0], np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+        x = x - base
+        n, sums, products = n + len(x), sums + x.sum(0), products + x.T @ x
+    if n:
+        d = len(sums)
+        i, j = (k.ravel() for k in np.indices((d, d)))
+        columns = (i, j, np.full(d * d, n), base[i], base[j], sums[i], sums[j], products.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "bi", "bj", "si", "sj", "p"])
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """(i, j, n, si, sj, p) over all rows: one row a pair of features from each partition."""
+    parts = rows.select("features").mapInArrow(_moments, "i long, j long, n long, bi double, bj double, si double, sj double, p double")
+    n, bi, bj, si, sj = (F.col(c) for c in ("n", "bi", "bj", "si", "sj"))
+    return parts.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(si + n * bi).alias("si"), F.sum(sj + n * bj).alias("sj"), F.sum(F.col("p") + bi * sj + bj * si + n * bi * bj).alias("p")
+    )
+
+
 def covariance(rows: DataFrame) -> DataFrame:
-    """(i, j, value): the sample covariance of the features, by sums of products; as many rows as feature pairs."""
-    e = rows.select("features", F.posexplode("features").alias("i", "x")).select("i", "x", F.posexplode("features").alias("j", "y"))
-    return e.groupBy(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg(F.covar_samp("x", "y").alias("value"))
+    """(i, j, value): the sample covariance of the features. Products are summed where the rows are; as many rows as feature pairs meet from each partition."""
+    n = F.col("n")
+    return _paired(rows).select("i", "j", F.try_divide(F.col("p") - F.col("si") * F.col("sj") / n, n - 1).alias("value"))
 
 
 def principal_components(rows: DataFrame, n_components: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, components as columns, and shares of variance. The driver sees the covariance matrix only."""
-    cells = covariance(rows).collect()
-    d = max(c["i"] for c in cells) + 1
-    matrix = np.zeros((d, d))
-    for c in cells:
-        matrix[c["i"], c["j"]] = c["value"]
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(values)[::-1]
-    mean = np.array([r["m"] for r in rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
+    """Means, components (columns, the largest entry of each positive) and shares of the variance, from one pass; the driver sees a row a feature pair."""
+    found = sorted(_paired(rows).collect(), key=lambda r: (r.i, r.j))
+    d = max(r.i for r in found) + 1
+    mean = np.array([r.sj / r.n for r in found[:d]])
+    cov = np.array([(r.p - r.si * r.sj / r.n) / max(r.n - 1, 1) for r in found]).reshape(d, d)
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values)
     vectors = vectors[:, order[:n_components]]
-    # a component's largest entry is positive
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
     return mean, vectors, values[order][:n_components] / values.sum()
 
 
@@ -68,9 +96,9 @@ def pca(rows: DataFrame, n_components: int = 2) -> DataFrame:
 
 
 def _least(pairs: DataFrame, k: int) -> DataFrame:
-    """(other_id, n): the k least structs n of each other_id. Each task keeps its k first, so no query's rows meet in one task."""
-    best = pairs.groupBy("other_id", F.spark_partition_id().alias("part")).agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("n"))
-    return best.groupBy("other_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("n"))), 1, k).alias("n"))
+    """(other_id, n): the k least structs n of each other_id, in order. The limit on ranks is applied before the shuffle too, so a query's rows don't all meet."""
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("other_id").orderBy("n"))).where(F.col("rank") <= k)
+    return ranked.groupBy("other_id").agg(F.sort_array(F.collect_list("n")).alias("n"))
 
 
 def _vote(least: DataFrame) -> DataFrame:

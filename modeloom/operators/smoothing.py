@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modeloom.operators.frames import lengths, local, mirrored, shifted
@@ -62,18 +63,39 @@ def savgol_smoothing(signal: DataFrame, window_length: int = 11, poly_order: int
     return local(signal.join(lengths(signal), "series_id"), reach, reach, smoothed=smoothed).drop("n")
 
 
+#: Samples whose weights are followed one by one; slower smoothers carry sums from chunk to chunk of so many.
+CARRIED = 256
+
+
 def exponential_smoothing(signal: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """y = alpha x + (1 - alpha) y before it, from the first sample on; samples whose weight is below 1e-18 are left out."""
-    reach = max(1, math.ceil(math.log(1e-18) / math.log(1 - alpha))) if 0 < alpha < 1 else 1
-    back = F.collect_list("value")
-    return local(
-        signal, reach, 0,
-        smoothed=lambda w: F.aggregate(
-            F.slice(back.over(w.rowsBetween(-reach, 0)), 2, reach),
-            F.element_at(back.over(w.rowsBetween(-reach, 0)), 1),
-            lambda y, x: x * alpha + y * (1 - alpha),
-        ),
-    )
+    """y = alpha x + (1 - alpha) y before it, from the first sample on; alpha 0 keeps the first sample, alpha 1 the signal.
+
+    A quick smoother looks back as far as weights reach 1e-18. A slow one smooths
+    chunks from nothing; what the chunks before leave fades by their lengths,
+    and is folded over the chunks' ends, which are few.
+    """
+    if not 0 < alpha < 1:
+        first = signal.groupBy("series_id").agg(F.min_by("value", "t").alias("first"))
+        return signal.join(first, "series_id").withColumn("smoothed", F.col("first") if alpha <= 0 else F.col("value")).drop("first")
+    reach = math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    if reach <= CARRIED:
+        back = F.collect_list("value")
+        return local(
+            signal, reach, 0,
+            smoothed=lambda w: F.aggregate(
+                F.slice(back.over(w.rowsBetween(-reach, 0)), 2, reach),
+                F.element_at(back.over(w.rowsBetween(-reach, 0)), 1),
+                lambda y, x: x * alpha + y * (1 - alpha),
+            ),
+        )
+    fade = 1 - alpha
+    chunk, within = F.floor(F.col("t") / CARRIED), F.col("t") % CARRIED
+    weighed = F.col("value") * F.when(F.col("t") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(fade), -within)
+    parts = signal.withColumn("chunk", chunk).withColumn("own", F.sum(weighed).over(W.partitionBy("series_id", "chunk").orderBy("t")) * F.pow(F.lit(fade), within))
+    ends = parts.groupBy("series_id", "chunk").agg(F.max_by("own", "t").alias("own"))
+    before = F.collect_list("own").over(W.partitionBy("series_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
+    carried = ends.withColumn("carry", F.aggregate(before, F.lit(0.0), lambda y, x: x + y * fade**CARRIED)).drop("own")
+    return parts.join(carried, ["series_id", "chunk"]).withColumn("smoothed", F.col("own") + F.col("carry") * F.pow(F.lit(fade), within + 1)).drop("chunk", "own", "carry")
 
 
 SMOOTHERS = {
