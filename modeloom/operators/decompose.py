@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators.kernels import chirp, fields, packets, seasonal, sifting, spectral, timefreq, variational
+from modeloom.operators.kernels import chirp, fields, generalized, packets, seasonal, sifting, spectral, timefreq, variational
 from modeloom.operators.kernels.numeric import analytic
 from modeloom.schema import MODES
 
@@ -55,6 +55,7 @@ KERNELS: dict[str, Callable] = {
     "acmd": _first(chirp.acmd), "incmd": _first(chirp.incmd), "gdmd": _first(chirp.gdmd), "osd": _rows(chirp.osd),
     "tvf_emd": _rows(fields.tvf_emd), "apmd": _rows(fields.apmd), "sjmd": _sjmd, "ba_acmd": _first(fields.ba_acmd), "dd_acmd": _first(fields.dd_acmd),
     "stnbmd": lambda x, **p: (fields.stnbmd(x, **p)[0].real, None), "vtfmtd": _first(fields.vtfmtd),
+    "vgnmd": _first(generalized.vgnmd), "ivgnmd": _first(generalized.ivgnmd), "agncmd": _first(generalized.agncmd),
 }
 #: Kernels of (C, T), which return (K, C, T).
 MULTI: dict[str, Callable] = {
@@ -141,8 +142,9 @@ def hilbert_huang(signal: DataFrame, algorithm: str = "emd", fs: float = 1.0, **
     return mode_attributes(decompose(signal, algorithm, **params), fs)
 
 
-def vncmd(signal: DataFrame, initial: DataFrame, fs: float = 1.0, **params) -> DataFrame:
-    """Joint chirp modes (series_id, mode, t, value, inst_freq, inst_amp) from first frequencies (series_id, mode, t, init_if)."""
+def vncmd(signal: DataFrame, initial: DataFrame, fs: float = 1.0, adaptive: bool = False, **params) -> DataFrame:
+    """Joint chirp modes (series_id, mode, t, value, inst_freq, inst_amp) from first frequencies (series_id, mode, t, init_if); ``adaptive`` learns bandwidths from the signal (AVNCMD)."""
+    kernel = generalized.avncmd if adaptive else chirp.vncmd
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("t", kind="stable")
@@ -151,7 +153,7 @@ def vncmd(signal: DataFrame, initial: DataFrame, fs: float = 1.0, **params) -> D
         if left.empty or not len(names):
             return pd.DataFrame(columns=["series_id", "mode", "t", "value", "inst_freq", "inst_amp"])
         start = first["init_if"].to_numpy(float).reshape(len(names), -1)
-        modes, freq, amp = chirp.vncmd(left["value"].to_numpy(float), start, fs, **params)
+        modes, freq, amp = kernel(left["value"].to_numpy(float), start, fs, **params)
         t = left["t"].to_numpy(np.int64)
         return pd.DataFrame({"series_id": key[0], "mode": np.repeat(names, len(t)), "t": np.tile(t, len(names)), "value": modes.reshape(-1), "inst_freq": freq.reshape(-1), "inst_amp": amp.reshape(-1)})
 
@@ -363,5 +365,5 @@ def prewhiten(signal: DataFrame, order: int = 100) -> DataFrame:
 
 def algorithms(spark) -> DataFrame:
     """(name, kind) of every algorithm that can be named."""
-    rows = [(k, "signal") for k in KERNELS] + [(k, "channels") for k in MULTI] + [(k, "image") for k in IMAGE_KERNELS] + [("bmemd", "stack"), ("faemd3d", "volume"), ("eemd", "ensemble"), ("vncmd", "joint"), ("online_emd", "stream")]
+    rows = [(k, "signal") for k in KERNELS] + [(k, "channels") for k in MULTI] + [(k, "image") for k in IMAGE_KERNELS] + [("bmemd", "stack"), ("faemd3d", "volume"), ("eemd", "ensemble"), ("vncmd", "joint"), ("avncmd", "joint"), ("online_emd", "stream")]
     return spark.createDataFrame(rows, "name string, kind string")

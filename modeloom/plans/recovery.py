@@ -34,6 +34,12 @@ SCENES: dict[str, tuple[int, dict[str, str]]] = {
         3000,
         {"bursts": "exp(-800 * ((i + 200) % 400) / 12800) * sin(2 * pi() * 3000 * ((i + 200) % 400) / 12800)", "hum": "0.3 * sin(2 * pi() * 200 * i / 12800)"},
     ),
+    "crossing": (1000, {"up": "cos(2 * pi() * (0.05 * i + 1e-4 * i * i))", "down": "cos(2 * pi() * (0.25 * i - 1e-4 * i * i))"}),
+    "pulse": (1000, {"chirp": "cos(2 * pi() * (0.04 * i + 15e-6 * i * i))", "pulse": "2 * exp(-(i - 500) * (i - 500) / 128) * cos(2 * pi() * 0.33 * i)"}),
+    "pulses": (
+        1000,
+        {"early": "exp(-(i - 300) * (i - 300) / 128) * cos(2 * pi() * 0.2 * i)", "late": "exp(-(i - 700) * (i - 700) / 3200) * cos(2 * pi() * (0.25 * i + 1e-3 * (i - 700) * (i - 700)))"},
+    ),
     "waves": (1600, {"fine": "cos(2 * pi() * 8 * (i % 40) / 40)", "coarse": "cos(2 * pi() * 2 * floor(i / 40) / 40)"}),
     "bumps": (
         1600,
@@ -55,6 +61,8 @@ class Trial:
     parts: tuple[str, ...] = ()
     alike: float = 0.95
     off: float = 0.25
+    #: Whether parts have a strongest bin; sweeps have none, and -1 stands for it.
+    tonal: bool = True
 
     def formulas(self) -> dict[str, str]:
         every = SCENES[self.scene][1]
@@ -80,7 +88,7 @@ def recovered(spark: SparkSession, modes: DataFrame, trial: Trial) -> DataFrame:
     spectrum = D.transform(modes.select(F.col("mode").cast("string").alias("series_id"), "t", "value"), "fft").where(F.col("bin") <= n // 2)
     top = spectrum.groupBy(F.col("series_id").cast("int").alias("mode")).agg(F.max_by("bin", F.col("re") ** 2 + F.col("im") ** 2).alias("bin"))
     strong = F.abs(F.col("power") / F.col("want") - 1) <= trial.off
-    return best.join(F.broadcast(top), "mode").select("part", "bin", F.coalesce(F.col("r") >= trial.alike, F.lit(False)).alias("alike"), strong.alias("strong"))
+    return best.join(F.broadcast(top), "mode").select("part", (F.col("bin") if trial.tonal else F.lit(-1).cast("bigint")).alias("bin"), F.coalesce(F.col("r") >= trial.alike, F.lit(False)).alias("alike"), strong.alias("strong"))
 
 
 def expected(trial: Trial) -> str:
@@ -88,7 +96,7 @@ def expected(trial: Trial) -> str:
     parts = " UNION ALL ".join(f"SELECT '{k}' AS part, i, CAST({v} AS DOUBLE) AS v FROM r" for k, v in trial.formulas().items())
     return f"""WITH r AS (SELECT CAST(range AS DOUBLE) AS i FROM range(0, {n})), p AS ({parts}),
 f AS (SELECT part, k, pow(SUM(v * cos(2 * pi() * ((k * i) % {n}) / {n})), 2) + pow(SUM(v * sin(2 * pi() * ((k * i) % {n}) / {n})), 2) AS power FROM p CROSS JOIN range(0, {n // 2 + 1}) t(k) GROUP BY 1, 2)
-SELECT part, CAST(arg_max(k, power) AS BIGINT) AS bin, TRUE AS alike, TRUE AS strong FROM f GROUP BY 1"""
+SELECT part, CAST({"arg_max(k, power)" if trial.tonal else "-1"} AS BIGINT) AS bin, TRUE AS alike, TRUE AS strong FROM f GROUP BY 1"""
 
 
 TRIALS: dict[str, Trial] = {
@@ -114,6 +122,9 @@ TRIALS: dict[str, Trial] = {
     "mstl": Trial("weekly", {"periods": (24, 168)}),
     "osd": Trial("square", {"parts": (("values", (-1.0, 1.0)), ("smooth", 1e3))}),
     "imd": Trial("impulses", alike=0.9),
+    "vgnmd": Trial("pulse", {"max_modes": 2}, tonal=False),
+    "ivgnmd": Trial("crossing", alike=0.92, tonal=False),
+    "agncmd": Trial("pulses", {"max_modes": 2}, tonal=False),
 }
 #: Of channels: the first has all parts, the second the last part and the third the first.
 CHANNEL_TRIALS: dict[str, Trial] = {
@@ -175,5 +186,18 @@ def _volume(spark: SparkSession) -> DataFrame:
 for _trials, _by in ((TRIALS, _by_series), (CHANNEL_TRIALS, _by_channels), (IMAGE_TRIALS, _by_image)):
     for _name, _trial in _trials.items():
         _add(_name, _trial, _by(_name, _trial))
+def _joint(adaptive: bool) -> Callable[[SparkSession], DataFrame]:
+    """Crossing chirps from first frequencies that are off by a tenth."""
+
+    def run(spark: SparkSession) -> DataFrame:
+        x = scene(spark, "crossing")
+        first = F.posexplode(F.array(0.055 + 19e-5 * F.col("t"), 0.235 - 19e-5 * F.col("t"))).alias("mode", "init_if")
+        return D.vncmd(x, scene(spark, "crossing").select("series_id", "t", first), adaptive=adaptive).select("mode", "t", "value")
+
+    return run
+
+
+_add("vncmd", Trial("crossing", alike=0.9, tonal=False), _joint(False))
+_add("avncmd", Trial("crossing", alike=0.9, tonal=False), _joint(True))
 _add("bmemd", STACK_TRIAL, _stack)
 _add("faemd3d", VOLUME_TRIAL, _volume)

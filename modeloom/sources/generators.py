@@ -196,6 +196,6 @@ def points(spark: SparkSession, number: int = 200, dim: int = 2, seed: int = 42)
 
 def wind_record(spark: SparkSession, path: str, step: float = 0.05) -> DataFrame:
     """(series_id, t, time, value): the first column of a headless CSV file, a sample each ``step`` seconds, in the file's order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("t", "line")).where(F.trim("line") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("t", "line")).where(F.trim("line") != "")
     value = F.split("line", ",")[0].cast("double")
     return lines.select(F.lit("wind").alias("series_id"), F.col("t").cast("bigint").alias("t"), (F.col("t") * step).alias("time"), value.alias("value"))

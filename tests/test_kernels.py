@@ -205,3 +205,33 @@ def test_adaptive():
     fast = np.cos(2 * np.pi * 50 * T) + np.cos(2 * np.pi * 200 * T)
     assert best(fields.vtfmtd(fast, (0.06, 0.19))[0], np.cos(2 * np.pi * 50 * T)) > 0.95
     assert np.allclose(fields.apmd(fast).sum(0), fast, atol=1e-8)
+
+
+def test_generalized_modes():
+    from modeloom.operators.kernels import generalized
+
+    g1, g2 = 50 + 200 * T, 250 - 200 * T
+    a, b = np.cos(chirp._phase(g1, 1000)), np.cos(chirp._phase(g2, 1000))
+    modes, freq, _ = generalized.avncmd(a + b, [60 + 180 * T, 240 - 180 * T], 1000)
+    assert best(modes, a) > 0.98 and best(modes, b) > 0.98
+    assert all(np.linalg.norm(f - g) / np.linalg.norm(g) < 0.05 for f, g in zip(freq, (g1, g2), strict=True))
+    modes, kinds, _ = generalized.ivgnmd(a + b)
+    assert all(kinds) and best(modes, a) > 0.93 and best(modes, b) > 0.93
+
+    share = np.fft.rfftfreq(1000)
+
+    def dispersed(delay, amplitude):
+        s = np.fft.irfft(amplitude * np.exp(-2j * np.pi * np.cumsum(np.r_[0, (delay[1:] + delay[:-1]) / 2]) / 1000), 1000)
+        return s / np.abs(s).max()
+
+    low = np.cos(chirp._phase(40 + 30 * T, 1000))
+    pulse = dispersed(500 + 1500 * (share - 0.33), np.exp(-(((share - 0.33) / 0.06) ** 2)))
+    modes, kinds, _ = generalized.vgnmd(low + pulse, 2)
+    assert sorted(kinds) == [False, True] and best(modes, low) > 0.99 and best(modes, pulse) > 0.95
+    d1, d2 = 200 + 150 * np.sin(3 * np.pi * share), 650 + 200 * share
+    wide = np.exp(-(((share - 0.25) / 0.12) ** 4))
+    one, two = dispersed(d1, wide), 0.9 * dispersed(d2, wide)
+    modes, delays, bands = generalized.agncmd(one + two, 2)
+    assert best(modes, one) > 0.95 and best(modes, two) > 0.95
+    assert all(best([d[150:350]], g[150:350]) > 0.9 for d, g in zip(sorted(delays, key=np.mean), (d1, d2), strict=True))
+    assert all(np.all(np.diff(band) <= 1e-12) for band in bands)
