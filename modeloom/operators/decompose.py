@@ -52,7 +52,7 @@ KERNELS: dict[str, Callable] = {
     "ewt": _first(spectral.ewt), "efd": _first(spectral.efd), "ssa": _first(spectral.ssa), "hvd": _rows(spectral.hvd), "sst": _rows(spectral.sst_modes),
     "fmd": lambda x, **p: (spectral.fmd(x, **p), None), "swd": _rows(spectral.swd), "imd": _rows(spectral.imd),
     "stl": _stl, "mstl": _rows(seasonal.mstl),
-    "acmd": _first(chirp.acmd), "incmd": _first(chirp.incmd), "gdmd": _first(chirp.gdmd), "osd": _rows(chirp.osd),
+    "acmd": _first(chirp.acmd), "incmd": _first(chirp.incmd), "gdmd": _first(generalized.gdmd), "osd": _rows(chirp.osd),
     "tvf_emd": _rows(fields.tvf_emd), "apmd": _rows(fields.apmd), "sjmd": _sjmd, "ba_acmd": _first(fields.ba_acmd), "dd_acmd": _first(fields.dd_acmd),
     "stnbmd": lambda x, **p: (fields.stnbmd(x, **p)[0].real, None), "vtfmtd": _first(fields.vtfmtd),
     "vgnmd": _first(generalized.vgnmd), "ivgnmd": _first(generalized.ivgnmd), "agncmd": _first(generalized.agncmd),

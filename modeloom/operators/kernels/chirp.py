@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from modeloom.operators.kernels.numeric import smooth_curve
+from modeloom.operators.kernels.numeric import smooth_curve, welch
 
 
 def _smooth(u: np.ndarray, strength: float) -> np.ndarray:
@@ -93,29 +93,20 @@ def vncmd(x, initial, fs: float = 1.0, alpha: float = 1e-5, beta: float = 1e-7,
     return modes, freq, amps
 
 
-def gdmd(x, K: int = 2, alpha: float = 1.0, beta: float = 1e-3, tol: float = 1e-8, max_iter: int = 300):
-    """Dispersive modes: chirps of the spectrum along frequency, whose slope of phase is the group delay (samples)."""
-    x = np.asarray(x, float)
-    n = len(x)
-    spectrum = np.fft.rfft(x)
+def incmd(x, K: int = 2, strength: float = 1e3, max_iter: int = 100, tol: float = 1e-6):
+    """Chirp modes one after the other, each by itself from the strongest frequency of Welch's spectrum of what is left; a wide band first."""
+    rest = np.asarray(x, float)
     out = []
     for _ in range(K):
-        # the time of the strongest energy is the first group delay
-        rest_time = np.fft.irfft(spectrum, n)
-        envelope = np.abs(np.convolve(rest_time**2, np.ones(max(3, n // 50)), "same"))
-        delay = np.full(len(spectrum), -float(np.argmax(envelope)))
-        for wide in (30, 5, 1):
-            part, delay, a = follow(spectrum, delay, n, alpha * wide, beta, tol, max_iter // 3 + 1, real=False)
-        out.append((np.fft.irfft(part, n), -delay, a))
-        spectrum = spectrum - part
+        f, p = welch(rest)
+        freq = np.full(len(rest), f[1 + int(np.argmax(p[1:]))])
+        for wide in (1e3, 30, 1):
+            mode, freq, amp = follow(rest, freq, 1.0, wide / strength / 100, 1e-6, tol, max_iter // 3 + 1)
+        out.append((mode, freq, amp))
+        rest = rest - mode
     return tuple(np.array(p) for p in zip(*out, strict=True))
 
 
-def incmd(x, K: int = 2, strength: float = 1e3, max_iter: int = 100, tol: float = 1e-6):
-    """Chirp modes one after the other; frequencies come from the smoothed slope of each amplitude's phase alone."""
-    return acmd(x, K, 1.0, 1 / strength / 100, 1e-6, tol, max_iter)
-
-
 def curve_prox(y: np.ndarray, kind: str, weight: float, rounds: int = 80) -> np.ndarray:
     """The curve nearest to y with a small penalty: smooth second differences, sparse first or second differences, small or sparse values, or one of a set of values."""
     if kind == "smooth":

@@ -219,13 +219,23 @@ def tvf_emd(x, bandwidth: float = 0.1, max_imfs: int = 6, max_iter: int = 30, mi
     return np.array([*out, rest])
 
 
-def sjmd(x, max_modes: int = 6, alpha: float = 5000.0, stop: float = 0.01, **params):
-    """Jump and modes one after the other: modes (K, T), jump part, centres; stops when a mode adds less than ``stop`` of the power."""
+def sjmd(x, max_modes: int = 6, alpha: float = 5000.0, gain: float = 0.5, **params):
+    """Jump and modes, one more mode at a time: modes (K, T), jump part, centres.
+
+    Each round solves for the jump part and all modes so far together; when
+    another mode leaves more than ``gain`` of what was left without it, the
+    round before stands.
+    """
     x = np.asarray(x, float)
-    _, jump, _ = variational.jmd(x, K=2, alpha=alpha, **params)
-    modes, centres = variational.svmd(x - jump, max_alpha=alpha, max_modes=max_modes)
-    keep = (modes**2).sum(1) >= stop * max(((x - jump) ** 2).sum(), 1e-300)
-    return modes[keep], jump, centres[keep]
+    best, left = None, np.inf
+    for k in range(1, max_modes + 1):
+        modes, jump, centres = variational.jmd(x, K=k, alpha=alpha, **params)
+        n = modes.shape[-1]
+        now = ((x[:n] - modes.sum(0) - jump[:n]) ** 2).sum()
+        if best is not None and now > gain * left:
+            break
+        best, left = (modes, jump, centres), now
+    return best
 
 
 def ba_acmd(x, fs: float = 1.0, stop_corr: float = 0.3, max_modes: int = 6, alpha: float = 1e-5, beta: float = 1e-7):

@@ -149,6 +149,27 @@ def ivgnmd(x, max_modes: int = 2, alpha: float = 1e-4, beta: float = 1e-7, tol:
     return _resolve(x, found, alpha, beta, tol, max_iter) if found else (np.zeros((0, n)), [], [])
 
 
+def first_delay(x: np.ndarray, bins: int = 256) -> np.ndarray:
+    """A group delay (samples, by Fourier bin): the plane's strongest path along frequency."""
+    path = _track(plane(x, bins=bins).T, 3 * max(1, len(x) // bins), 24)
+    return smooth_curve(np.interp(np.linspace(0, bins - 1, len(x) // 2 + 1), np.arange(bins), path), 1e3)
+
+
+def gdmd(x, K: int = 2, alpha: float = 1.0, beta: float = 1e-3, tol: float = 1e-8, max_iter: int = 300):
+    """Dispersed modes: chirps of the spectrum along frequency, whose slope of phase is the group delay (samples); modes, delays, amplitudes."""
+    x = np.asarray(x, float)
+    n = len(x)
+    spectrum = np.fft.rfft(x)
+    out = []
+    for _ in range(K):
+        delay = -first_delay(np.fft.irfft(spectrum, n))
+        for wide in (30, 5, 1):
+            part, delay, a = chirp.follow(spectrum, delay, n, alpha * wide, beta, tol, max_iter // 3 + 1, real=False)
+        out.append((np.fft.irfft(part, n), -delay, a))
+        spectrum = spectrum - part
+    return tuple(np.array(p) for p in zip(*out, strict=True))
+
+
 def agncmd(x, max_modes: int = 3, beta: float = 1e-7, tol: float = 1e-8, max_iter: int = 100, stop: float = 1e-3):
     """Dispersed modes one after the other: modes, group delays (samples, by Fourier bin) and bandwidth parameters.
 
@@ -159,13 +180,11 @@ def agncmd(x, max_modes: int = 3, beta: float = 1e-7, tol: float = 1e-8, max_ite
     rest = np.asarray(x, float).copy()
     n = len(rest)
     power = (rest**2).sum() or 1.0
-    bins = 256
     modes, delays, bands = [], [], []
     for _ in range(max_modes):
         if (rest**2).sum() < stop * power:
             break
-        path = _track(plane(rest, bins=bins).T, 3 * max(1, n // bins), 24)
-        delay = smooth_curve(np.interp(np.linspace(0, bins - 1, n // 2 + 1), np.arange(bins), path), 1e3)
+        delay = first_delay(rest)
         spectrum = np.fft.rfft(rest)
         band = []
         for _ in range(4):

@@ -505,13 +505,15 @@ SHAPES = {
     "chirp_trend": "cos(22 * pi() * x * x) + 2 * x * x", "two_tones": "cos(2 * pi() * 5 * x) + 0.5 * cos(2 * pi() * 24 * x)",
     "three_tones": "4 / pi() * (sin(2 * pi() * 10 * x) + sin(2 * pi() * 30 * x) / 3 + sin(2 * pi() * (50 * x + 20 * x * x)) / 2)",
     "nested": "3 * pow(2, -x) * sin(sin(2 * pi() * x)) + cos(2 * pi() * 5 * x) + sin(2 * pi() * (x + 2 * x * x)) + sin(2 * pi() * 30 * x)",
+    "square": "sign(sin(62.83185307179586::DOUBLE * x))", "sawtooth": "2 * (62.83185307179586::DOUBLE * x / 6.283185307179586::DOUBLE - floor(62.83185307179586::DOUBLE * x / 6.283185307179586::DOUBLE)) - 1",
+    "triangle": "2 * abs(1 - 4 * abs((62.83185307179586::DOUBLE * x / 6.283185307179586::DOUBLE - floor(62.83185307179586::DOUBLE * x / 6.283185307179586::DOUBLE)) - 0.5)) - 1",
+    "linear_chirp": "cos(2 * pi() * (5 * x + 7.5 * x * x))", "gauss_am_quadratic_fm": "exp(-(x - 3) * (x - 3) / 2) * cos(2 * pi() * (2 * x + 0.8 * x * x)) + cos(2 * pi() * x)",
+    "cubic_quadratic": "cos(2 * pi() * (4 * x + 0.1 * x * x * x)) + 0.5 * cos(2 * pi() * (x + 0.2 * x * x))", "nonlinear_chirps": "cos(2 * pi() * (40 * x + 20 * x * x)) + cos(2 * pi() * (120 * x + 10 * sin(2 * pi() * x)))",
 }
 for _form, _sql in SHAPES.items():
     query(f"generate_{_form}", f"SELECT '{_form}' AS series_id, i AS t, round(i / 1000.0::DOUBLE, 6) + 0.0::DOUBLE AS time, round({_sql.replace('x', '(i / 1000.0::DOUBLE)').replace('e(i / 1000.0::DOUBLE)p', 'exp')}, 6) + 0.0::DOUBLE AS value FROM range(0, 1000) r(i)")(
         lambda s, d, form=_form: generators.generate(s, form)
     )
-for _form in ("square", "triangle", "sawtooth", "linear_chirp"):
-    query(f"generate_{_form}")(lambda s, d, form=_form: generators.generate(s, form))
 
 
 @query("generate_image", "SELECT 'case1' AS image_id, CAST(i // 64 AS INTEGER) AS y, CAST(i % 64 AS INTEGER) AS x, round(sin(2 * pi() * 0.2 * (i % 64) * 10 / 63) + cos(2 * pi() * 0.3 * (i // 64) * 10 / 63), 6) + 0.0::DOUBLE AS value FROM range(0, 4096) r(i)")

@@ -26,7 +26,7 @@ EXACT = {
 PARTIAL = {
     "vmd": {"K": 4}, "ovmd": {"K": 4}, "svmd": {"max_modes": 5}, "stvmd": {"K": 3}, "vme": {"omega": 1 / 24}, "jmd": {"K": 2, "max_iter": 100}, "ssa": {"K": 4, "lags": 48}, "fmd": {"max_iter": 5},
     "acmd": {"K": 2}, "incmd": {"K": 2}, "gdmd": {"K": 2},
-    "sjmd": {"max_modes": 3, "max_iter": 60}, "ba_acmd": {"max_modes": 3}, "dd_acmd": {"K": 2}, "stnbmd": {"frequencies": (1 / 24, 1 / 12)}, "vtfmtd": {"omega": (0.04, 0.1, 0.3)},
+    "sjmd": {"max_modes": 3, "max_iter": 60}, "vgnmd": {"max_modes": 2}, "ivgnmd": {"max_modes": 2}, "agncmd": {"max_modes": 2}, "ba_acmd": {"max_modes": 3}, "dd_acmd": {"K": 2}, "stnbmd": {"frequencies": (1 / 24, 1 / 12)}, "vtfmtd": {"omega": (0.04, 0.1, 0.3)},
 }
 SUM = f"WITH {EVENTS} SELECT series_id, t, round(value, 6) + 0.0::DOUBLE AS value FROM sig"
 
@@ -152,6 +152,17 @@ def hilbert_transform_real(spark, sf_dir):
     return D.transform(signals.events_hourly(spark, sf_dir), "hilbert").select("series_id", "bin", "re")
 
 
+@query(
+    "hilbert_transform",
+    f"""WITH {USERS}, hk AS (SELECT n, k, CASE WHEN k = 0 OR n % 2 = 0 AND k % 2 = 0 THEN 0 WHEN n % 2 = 0 THEN 2 * cos(pi() * k / n) / sin(pi() * k / n) / n ELSE (cos(pi() * k / n) - cos(pi() * k)) / sin(pi() * k / n) / n END AS h
+FROM (SELECT DISTINCT n FROM len) CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS k))
+SELECT a.series_id, a.t AS bin, round(ANY_VALUE(a.value), 6) + 0.0::DOUBLE AS re, round(SUM(b.value * hk.h), 6) + 0.0::DOUBLE AS im
+FROM sig a JOIN len USING (series_id) JOIN sig b ON a.series_id = b.series_id JOIN hk ON hk.n = len.n AND hk.k = (a.t - b.t + len.n) % len.n GROUP BY 1, 2""",
+)
+def hilbert_transform(spark, sf_dir):
+    return D.transform(signals.users_daily(spark, sf_dir), "hilbert")
+
+
 @query(
     "fft",
     f"""WITH {USERS} SELECT series_id, k AS bin, round(SUM(value * cos(2 * pi() * ((k * t) % n) / n)), 6) + 0.0::DOUBLE AS re, round(-SUM(value * sin(2 * pi() * ((k * t) % n) / n)), 6) + 0.0::DOUBLE AS im
@@ -221,8 +232,6 @@ def normalize_time(spark, sf_dir):
     return out.withColumn("scaled", F.round("scaled", 3))
 
 
-for _form in ("gauss_am_quadratic_fm", "cubic_quadratic", "nonlinear_chirps"):
-    query(f"generate_{_form}")(lambda s, d, form=_form: generators.generate(s, form))
 query("generate_duffing")(lambda s, d: generators.duffing(s))
 query("generate_logistic_am")(lambda s, d: generators.logistic_am(s))
 query("generate_seasonal")(lambda s, d: generators.seasonal_series(s))

@@ -117,6 +117,8 @@ TRIALS: dict[str, Trial] = {
     "ba_acmd": Trial("high", {"fs": 1000.0}),
     "apmd": Trial("uneven", {"n_modes": 3}),
     "jmd": Trial("jump", {"K": 1}),
+    "sjmd": Trial("jump", {"max_modes": 3}),
+    "gdmd": Trial("pulses", {"K": 2}, alike=0.9, tonal=False),
     "dd_acmd": Trial("line", {"fs": 1000.0}),
     "stl": Trial("daily", {"period": 24}),
     "mstl": Trial("weekly", {"periods": (24, 168)}),
