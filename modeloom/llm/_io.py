@@ -44,13 +44,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark drops the shuffle files of finished jobs when the driver forgets them, which else may take half an hour."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more, because all that rests on them is written."""
+    """Deletes staged tables that nothing reads any more, because all that rests on them is written.
+
+    Shuffle files of finished jobs are forgotten too.
+    """
     for df in tables:
         for scope in _scopes:
             if df._staged in scope:
                 scope.remove(df._staged)
         _delete(df.sparkSession, df._staged)
+    if tables:
+        forget(tables[0].sparkSession)
 
 
 class Staging:

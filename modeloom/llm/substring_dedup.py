@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm._io import discard, stage_table
+from modeloom.llm._io import discard, forget, stage_table
 from modeloom.llm.bpe import Memo
 
 #: Words and sentences that a run has at least.
 LEAST_WORDS, LEAST_SENTENCES = 20, 2
 #: One word in how many ends a sentence without a mark.
-PICK = 8
-MEMO_WORDS = 250_000
+PICK = 10
+MEMO_WORDS = 80_000
+#: Texts whose runs are listed at a time.
+ROWS = 1_024
 TOKEN = re.compile(r"\n|\S+")
 MARKS = (".", "!", "?")
 
@@ -109,17 +111,19 @@ def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [runs(text.as_py() or "", least) for text in batch.column(2)]
-        at = pa.array(np.cumsum([0, *[len(p) for p, _ in found]]), pa.int32())
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            found = [runs(text.as_py() or "", least) for text in batch.column(2)]
+            at = pa.array(np.cumsum([0, *[len(p) for p, _ in found]]), pa.int32())
 
-        def listed(parts: list[np.ndarray], at=at) -> pa.ListArray:
-            return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+            def listed(parts: list[np.ndarray], at=at) -> pa.ListArray:
+                return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), pa.int64()))
 
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), listed([(p[:, 0] << 32) | p[:, 1] for p, _ in found]), listed([h[:, 0] for _, h in found]), listed([h[:, 1] for _, h in found])],
-            names=["id", "t", "place", "h1", "h2"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), listed([(p[:, 0] << 32) | p[:, 1] for p, _ in found]), listed([h[:, 0] for _, h in found]), listed([h[:, 1] for _, h in found])],
+                names=["id", "t", "place", "h1", "h2"],
+            )
 
 
 def _cut(text: str, gone: list[int]) -> tuple[str, int]:
@@ -160,6 +164,7 @@ def repeated_sentences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     every = parts.select("id", "t", F.explode(F.arrays_zip("place", "h1", "h2")).alias("r")).select("id", "t", "r.place", "r.h1", "r.h2")
     often = parts.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     often = stage_table(often, "spans-often")
+    forget(docs.sparkSession)
     shared = stage_table(every.join(often, "h1", "left_semi").select("id", "t", "place", "h1", "h2"), "spans-shared")
     discard(parts, often)
     place = F.struct("id", "t", "place")

@@ -93,7 +93,7 @@ def sentences(text):
     for i, m in enumerate(words):
         now.append(m.span())
         after = text[m.end() : words[i + 1].start()] if i + 1 < len(words) else ""
-        if m[0][-1] in ".!?" or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 8 == 0 or "\n" in after:
+        if m[0][-1] in ".!?" or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 10 == 0 or "\n" in after:
             out.append(now)
             now = []
     return out + [now] * bool(now)
