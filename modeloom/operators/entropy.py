@@ -46,14 +46,18 @@ def multiscale_permutation_entropy(signal: DataFrame, m: int, delay: int, scale:
 def _matches(signal: DataFrame, m: int, radius: DataFrame, strict: bool) -> DataFrame:
     """(series_id, c): pairs of m-sample runs within each series' radius ``r`` in every sample.
 
-    Runs are joined by cells of width r of their first sample and its two
-    neighbours, so only near runs meet.
+    Runs are joined by squares of width r of their first and last samples and
+    the eight around, so only runs near in both meet, and a dense series is
+    dealt over many keys.
     """
-    runs = trajectory(signal, m).join(radius, "series_id").where("r > 0").withColumn("cell", F.floor(F.element_at("v", 1) / F.col("r")))
-    other = runs.select("series_id", F.col("row").alias("row2"), F.col("v").alias("v2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    r = F.col("r")
+    runs = trajectory(signal, m).join(radius, "series_id").where("r > 0")
+    runs = runs.withColumn("cell", F.floor(F.element_at("v", 1) / r)).withColumn("side", F.floor(F.element_at("v", -1) / r))
+    about = F.array(*[F.struct((F.col("cell") + i).alias("cell"), (F.col("side") + j).alias("side")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = runs.select("series_id", F.col("row").alias("row2"), F.col("v").alias("v2"), F.explode(about).alias("at")).select("series_id", "row2", "v2", "at.cell", "at.side")
     far = F.aggregate(F.zip_with("v", "v2", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: F.greatest(x, y))
-    near = far < F.col("r") if strict else far <= F.col("r")
-    return runs.join(other, ["series_id", "cell"]).where((F.col("row") < F.col("row2")) & near).groupBy("series_id").agg(F.count("*").alias("c"))
+    near = far < r if strict else far <= r
+    return runs.join(other, ["series_id", "cell", "side"]).where((F.col("row") < F.col("row2")) & near).groupBy("series_id").agg(F.count("*").alias("c"))
 
 
 def sample_entropy(signal: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
