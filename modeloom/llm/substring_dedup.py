@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A run is a stretch of at least LEAST_SENTENCES consecutive sentences with at
-least LEAST_WORDS words. Runs are compared over all documents by 128 bits of
-their words: a run's first place, by (doc_id, text hash, sentence), stays, and
+least LEAST_WORDS words. Runs are compared over all documents by 96 bits of
+their words' hash (of 10^12 different runs any two are alike in these with a
+chance of 6 in a million): a run's first place, by (doc_id, text hash, sentence), stays, and
 the sentences under all its other places go.
 
 Not every run needs a hash. Take a run R and a sentence s in it, and shrink R
@@ -90,8 +91,8 @@ def places(text: str) -> list[int]:
     return ends if over else [*ends, last]
 
 
-def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence and sentence past the last (rows of two), and hash (two longs), of each shortest run of a text."""
+def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence and sentence past the last (rows of two), and hash (a long and an int), of each shortest run of a text."""
     words, ends = sentences(text)
     upto = np.concatenate([[0], ends])
     n = len(ends)
@@ -107,7 +108,7 @@ def runs(text: str, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     spans = begins[upto[pairs]] - [0, 1]
     digest = xxhash.xxh3_128_digest
     hashes = b"".join([digest(blob[a:b]) for a, b in spans.tolist()])
-    return pairs, np.frombuffer(hashes, np.int64).reshape(-1, 2)
+    return pairs, np.frombuffer(hashes, np.int64)[::2], np.frombuffer(hashes, np.int32)[2::4]
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -115,13 +116,13 @@ def _run_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         for start in range(0, whole.num_rows, ROWS):
             batch = whole.slice(start, ROWS)
             found = [runs(text.as_py() or "", least) for text in batch.column(2)]
-            at = pa.array(np.cumsum([0, *[len(p) for p, _ in found]]), pa.int32())
+            at = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]), pa.int32())
 
             def listed(parts: list[np.ndarray], at=at) -> pa.ListArray:
-                return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), pa.int64()))
+                return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts)))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), listed([(p[:, 0] << 32) | p[:, 1] for p, _ in found]), listed([h[:, 0] for _, h in found]), listed([h[:, 1] for _, h in found])],
+                [batch.column(0), batch.column(1), listed([(f[0][:, 0] << 32) | f[0][:, 1] for f in found]), listed([f[1] for f in found]), listed([f[2] for f in found])],
                 names=["id", "t", "place", "h1", "h2"],
             )
 
@@ -153,12 +154,12 @@ def repeated_sentences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, t, gone): sentences to remove, by number, of every row (doc_id, text hash) that has any.
 
     A run's first place is the smallest (doc_id, text hash, sentence); null ids
-    come first. Runs that occur once go by a count of half their hash, before
+    come first. Runs that occur once go by a count of 64 bits of their hash, before
     anything else of them is grouped; a hot run is counted where it is read,
     and the joins' sides are plain exchanges, whose hot hashes can be split.
     """
     parts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text").mapInArrow(
-        lambda b: _run_batches(b, least), "id long, t long, place array<long>, h1 array<long>, h2 array<long>"
+        lambda b: _run_batches(b, least), "id long, t long, place array<long>, h1 array<long>, h2 array<int>"
     )
     parts = stage_table(parts, "spans-runs")
     every = parts.select("id", "t", F.explode(F.arrays_zip("place", "h1", "h2")).alias("r")).select("id", "t", "r.place", "r.h1", "r.h2")
