@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from modeloom.llm import bpe, decontamination, pii, quality_rules, simhash
-from modeloom.llm._io import Staging, discard, stage_table, table
+from modeloom.llm._io import stage_table, table
 from modeloom.llm.registry import word_bpe_path
 
 
@@ -51,15 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn; what a stage has staged, and the stage before it, go once its result is written."""
+    """The stages in turn, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    before = None
     for name, stage in STAGES[:-1]:
-        with Staging() as staged:
-            result = stage(spark, docs, sf_dir)
-        docs = stage_table(result, "pipeline-" + name.replace(" ", "-"))
-        staged.release(spark)
-        if before is not None:
-            discard(before)
-        before = docs
+        docs = stage_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
