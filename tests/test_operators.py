@@ -82,3 +82,13 @@ def test_wind_record(spark, tmp_path):
     (tmp_path / "wind.csv").write_text("1.5,9\n2.5,9\r\n\n-3,9\n")
     rows = generators.wind_record(spark, str(tmp_path / "wind.csv")).orderBy("t").collect()
     assert [q.value for q in rows] == [1.5, 2.5, -3.0] and rows[1].time == 0.05
+
+
+@pytest.mark.parametrize("n", [28, 5000])
+def test_products_of_counts_and_halves_are_exact(n):
+    r = np.random.default_rng(6)
+    x, y = r.integers(0, 40, n).astype(float), r.integers(0, 9999, n + 3) / 2
+    assert (correlation._products(x, y) == np.correlate(x, y, "full")).all()
+    assert (n * (n + 3) > correlation.DIRECT) == (n == 5000)
+    z = r.normal(size=n)
+    assert np.allclose(correlation._products(z, y), np.correlate(z, y, "full"), rtol=1e-12, atol=1e-7)
