@@ -92,3 +92,51 @@ def test_products_of_counts_and_halves_are_exact(n):
     assert (n * (n + 3) > correlation.DIRECT) == (n == 5000)
     z = r.normal(size=n)
     assert np.allclose(correlation._products(z, y), np.correlate(z, y, "full"), rtol=1e-12, atol=1e-7)
+
+
+def distances(x, y):
+    """Sums of squares one by one, and null for what has none."""
+    if x is None or y is None or None in x or None in y or len(x) != len(y):
+        return None
+    total = 0.0
+    for a, b in zip(x, y, strict=True):
+        total += (a - b) * (a - b)
+    return total
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    """Vectors far from zero, with copies, ties, lengths of their own, nulls and samples that are not finite; queries among them."""
+    r = np.random.default_rng(7)
+    x = [(1e6 + r.integers(0, 4, 6) / 1024).tolist() for _ in range(150)]
+    for i, v in {0: None, 7: None, 20: [1.0, None, 3.0, 4.0, 5.0, 6.0], 31: [], 40: [1.0, 2.0], 41: [2.0, 2.0], 60: [1e200] * 6, 63: [1e9] * 6, 64: [-1e200] * 6, 80: [], 101: [float("inf")] * 6}.items():
+        x[i] = v
+    rows = [(i, v, i % 3 if i % 7 else None) for i, v in enumerate(x)]
+    return rows, spark.createDataFrame(rows, "id long, features array<double>, label int").coalesce(1)
+
+
+def test_kernel_matrix_of_odd_vectors(spark, odd_vectors):
+    rows, table = odd_vectors
+    got = features.kernel_matrix(table, table.where("id % 20 = 0"), "euclidean")
+    assert got.rdd.getNumPartitions() > 4  # one file, and still a task for every core
+    want = {(i, j): distances(x, y) for i, x, _ in rows for j, y, _ in rows if j % 20 == 0}
+    found = {(q.id, q.other_id): q.value for q in got.collect()}
+    assert found == want and len(want) == 150 * 8
+    halves = features.kernel_matrix(table, table.where("id % 20 = 0"), "euclidean", places=6).collect()
+    assert {(q.id, q.other_id): q.value for q in halves} == {p: v if v is None else numeric.round_half_up(np.array([v]), 6)[0] for p, v in want.items()}
+
+
+def test_kernel_matrix_in_tiles(spark, monkeypatch, odd_vectors):
+    _, table = odd_vectors
+    whole = features.kernel_matrix(table, table.where("id % 20 = 0"), "linear").collect()
+    monkeypatch.setattr(features, "TILE", 3)
+    assert sorted(map(str, whole)) == sorted(map(str, features.kernel_matrix(table, table.where("id % 20 = 0"), "linear").collect()))
+
+
+def test_round_half_up_is_sparks_round(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=300), np.arange(-50, 50) / 1e6 + 5e-7, r.integers(0, 9999, 300) / 2.0**7 / 1e3, [1.0000005, 2.5e-7, 5e-7, 1e15 + 0.3, -1e300, 0.0, -0.0, np.inf, np.nan, 4503599627.3704955]])
+    want = [q[0] for q in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
+    np.testing.assert_array_equal(numeric.round_half_up(x, 6), want)
