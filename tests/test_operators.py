@@ -140,3 +140,16 @@ def test_round_half_up_is_sparks_round(spark):
     x = np.concatenate([r.normal(size=300), np.arange(-50, 50) / 1e6 + 5e-7, r.integers(0, 9999, 300) / 2.0**7 / 1e3, [1.0000005, 2.5e-7, 5e-7, 1e15 + 0.3, -1e300, 0.0, -0.0, np.inf, np.nan, 4503599627.3704955]])
     want = [q[0] for q in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
     np.testing.assert_array_equal(numeric.round_half_up(x, 6), want)
+
+
+@pytest.mark.parametrize("name, value", [("kernel_laplacian", lambda d: np.exp(-np.sqrt(d) / 2))])
+def test_kernel_queries_of_one_file(spark, name, value):
+    import __spark_entry__ as entry_points
+
+    sf = "/root/testdata/sf0.001"
+    x = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = entry_points.queries()[name](spark, sf)
+    assert got.rdd.getNumPartitions() > 4
+    found = {(q.id, q.other_id): q.value for q in got.collect()}
+    assert set(found) == {(i, j) for i in x for j in x if j % 20 == 0}
+    assert all(abs(v - value(((x[i] - x[j]) ** 2).sum())) < 1e-6 for (i, j), v in found.items())
