@@ -142,7 +142,7 @@ def test_round_half_up_is_sparks_round(spark):
     np.testing.assert_array_equal(numeric.round_half_up(x, 6), want)
 
 
-@pytest.mark.parametrize("name, value", [("kernel_laplacian", lambda d: np.exp(-np.sqrt(d) / 2))])
+@pytest.mark.parametrize("name, value", [("kernel_laplacian", lambda d: np.exp(-np.sqrt(d) / 2)), ("kernel_rational", lambda d: 2 / (d + 2))])
 def test_kernel_queries_of_one_file(spark, name, value):
     import __spark_entry__ as entry_points
 
