@@ -153,3 +153,14 @@ def test_kernel_queries_of_one_file(spark, name, value):
     found = {(q.id, q.other_id): q.value for q in got.collect()}
     assert set(found) == {(i, j) for i in x for j in x if j % 20 == 0}
     assert all(abs(v - value(((x[i] - x[j]) ** 2).sum())) < 1e-6 for (i, j), v in found.items())
+
+
+def test_nearest_of_odd_vectors(spark, odd_vectors):
+    rows, table = odd_vectors
+    got = {q.other_id: [(n.d, n.id, n.label) for n in q.n] for q in features.nearest(table.where("id % 20 = 0"), table, 5).collect()}
+    assert set(got) == set(range(0, 150, 20))
+    for j, y, _ in rows:
+        if j % 20 == 0:
+            each = [(distances(x, y), i, label) for i, x, label in rows]
+            assert got[j] == sorted(each, key=lambda n: (n[0] is None, n[0] or 0.0, n[1]))[:5]
+    assert features.nearest(table.where("id < 0"), table, 5).collect() == []
