@@ -164,3 +164,41 @@ def test_nearest_of_odd_vectors(spark, odd_vectors):
             each = [(distances(x, y), i, label) for i, x, label in rows]
             assert got[j] == sorted(each, key=lambda n: (n[0] is None, n[0] or 0.0, n[1]))[:5]
     assert features.nearest(table.where("id < 0"), table, 5).collect() == []
+
+
+def test_nearest_by_warping_of_odd_vectors(spark, odd_vectors):
+    from collections import Counter
+
+    from modeloom.operators.kernels import spectral
+
+    rows, table = odd_vectors
+    rows, table = [q for q in rows if q[0] != 101], table.where("id != 101")
+    got = {q.id: q.label for q in features.knn_dtw(table.where("id % 20 = 0"), table, 5, 2).collect()}
+    assert set(got) == set(range(0, 150, 20))
+
+    def warped(x, y):
+        return None if x is None or y is None or None in x or None in y else spectral.dtw(np.array(x), np.array(y), 2)
+
+    for j, y, _ in rows:
+        if j % 20 == 0:
+            each = [(warped(x, y), i, label) for i, x, label in rows]
+            votes = Counter(n[2] for n in sorted(each, key=lambda n: (n[0] is None, n[0] or 0.0, n[1]))[:5])
+            assert got[j] == min(votes, key=lambda v: (-votes[v], v is None, v or 0))
+
+
+@pytest.mark.parametrize("window", [None, 0, 2, 16])
+def test_filter_of_warping_keeps_the_nearest(window):
+    from modeloom.operators.kernels import spectral
+
+    r = np.random.default_rng(9)
+    for m, n, scale in ((12, 12, 1.0), (7, 11, 1e-9), (1, 5, 1e12)):
+        x, y = r.normal(size=(300, m)) * scale, r.normal(size=(4, n)) * scale
+        x[100:104] = 500 * scale
+        x[200:210] = x[0]
+        d = np.array([[spectral.dtw(a, b, window) for a in x] for b in y])
+        near = np.zeros(d.shape, bool)
+        near[features._warped_close(x, y, 5, window)] = True
+        assert near[d <= np.sort(d, axis=1)[:, 4:5]].all() and near.sum() < d.size / 2
+        whole = [(v * 400 / scale).round().clip(-6000, 6000).astype(np.int16) for v in (x, y)]
+        want = [[min(spectral.dtw(a.astype(float), b.astype(float), window), spectral.DTW_FAR) for a in whole[0]] for b in whole[1]]
+        assert (spectral.dtw_beside(*whole, window, block=70) == want).all()
