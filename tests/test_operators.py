@@ -133,6 +133,42 @@ def test_kernel_matrix_in_tiles(spark, monkeypatch, odd_vectors):
     assert sorted(map(str, whole)) == sorted(map(str, features.kernel_matrix(table, table.where("id % 20 = 0"), "linear").collect()))
 
 
+def test_kernel_matrix_leaves_python_by_tiles(spark, odd_vectors):
+    _, table = odd_vectors
+    got = features.kernel_matrix(table, table.where("id % 20 = 0"), "rational", 2.0, places=6)
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().toString()) and "posexplode(values" in plan
+    assert got.dtypes == [("id", "bigint"), ("other_id", "bigint"), ("value", "double")]
+    assert features.kernel_matrix(table, table.where("id < 0"), "rational", 2.0, places=6).collect() == []
+    named = features.kernel_matrix(table, table.where("id % 20 = 0").selectExpr("'q' || id AS id", "features"), "rational", 2.0, places=6)
+    assert {(q.id, int(q.other_id[1:])): str(q.value) for q in named.collect()} == {(q.id, q.other_id): str(q.value) for q in got.collect()}
+
+
+def test_rational_kernel_by_a_product_of_matrices(monkeypatch):
+    def plain(x, y, par, places):
+        with np.errstate(all="ignore"):
+            d = features._squared(x, y)
+            return numeric.round_half_up((1 - d / (d + par)).ravel(), places).reshape(d.shape) + 0.0
+
+    r = np.random.default_rng(11)
+    unit = r.normal(size=(90, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit[40:50] = unit[3]
+    odd = unit.copy()
+    odd[5], odd[6, 0], odd[7, 1], odd[8], odd[9] = 1e200, np.nan, np.inf, 1e9, 0
+    far, whole = 1e6 + r.integers(0, 4, (80, 6)) / 1024, r.integers(0, 3, (80, 6)).astype(float)
+    cases = [(x, 2.0, 6) for x in (unit, odd, far, whole, np.zeros((4, 0)))] + [(whole, 2.0, 1), (whole, 2.0, 2), (unit, 1e-9, 6), (whole, -1.5, 6)]
+    for x, par, places in cases:
+        with np.errstate(all="ignore"):
+            got = features._kernel(x, x[::3], "rational", par, places)
+        assert got.tobytes() == plain(x, x[::3], par, places).tobytes()
+    halves = features._squared(whole, whole) == 6  # 2 / 8, which rounds up
+    assert halves.any() and (features._kernel(whole, whole, "rational", 2.0, 1)[halves] == 0.3).all()
+
+    want = plain(unit, unit, 2.0, 6)
+    monkeypatch.setattr(features, "_sums", None)  # common values need no sums in order
+    assert (features._kernel(unit, unit, "rational", 2.0, 6) == want).all()
+
+
 def test_round_half_up_is_sparks_round(spark):
     from pyspark.sql import functions as F
 
