@@ -238,3 +238,37 @@ def test_filter_of_warping_keeps_the_nearest(window):
         whole = [(v * 400 / scale).round().clip(-6000, 6000).astype(np.int16) for v in (x, y)]
         want = [[min(spectral.dtw(a.astype(float), b.astype(float), window), spectral.DTW_FAR) for a in whole[0]] for b in whole[1]]
         assert (spectral.dtw_beside(*whole, window, block=70) == want).all()
+
+
+def test_rational_kernel_of_all_rows(spark):
+    import duckdb
+
+    import __spark_entry__ as entry_points
+
+    sf = "/root/testdata/sf0.001"
+    x = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = entry_points.queries()["kernel_rational"](spark, sf)
+    assert got.dtypes == [("id", "bigint"), ("other_id", "bigint"), ("value", "double")]
+    found = [(q.id, q.other_id, q.value) for q in got.collect()]
+    assert sorted(q[:2] for q in found) == sorted((i, j) for i in x for j in x)
+    assert all(abs(v - 2 / (((x[i] - x[j]) ** 2).sum() + 2)) < 1e-6 for i, j, v in found)
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+        assert c.sql(f"SELECT count(*) FROM ({entry_points.oracle_sql()['kernel_rational']})").fetchall() == [(len(x) ** 2,)]
+
+
+def test_gram_matrix_in_blocks(spark, monkeypatch, odd_vectors):
+    rows, table = odd_vectors
+    monkeypatch.setattr(features, "BLOCK", 5)
+    monkeypatch.setattr(features, "TILE", 6)
+    monkeypatch.setattr(features, "SIDE", 3)
+    got = features.gram_matrix(table, "euclidean")
+    assert "CartesianProduct" in (plan := got._jdf.queryExecution().toString()) and "Broadcast" not in plan
+    assert got.rdd.getNumPartitions() > 4
+    want = [(i, j, str(distances(x, y))) for i, x, _ in rows for j, y, _ in rows]
+    assert sorted((q.id, q.other_id, str(q.value)) for q in got.collect()) == sorted(want)
+    ids = table.where("id < 30").selectExpr("nullif('q' || id % 9, 'q4') AS id", "features")  # nulls and ids that occur again
+    named = features.gram_matrix(ids, "euclidean").collect()
+    known = [("q" + str(i % 9) if i % 9 != 4 else None, x) for i, x, _ in rows[:30]]
+    assert sorted(str((q.id, q.other_id, q.value)) for q in named) == sorted(str((i, j, distances(x, y))) for i, x in known for j, y in known)
+    assert features.gram_matrix(table.where("id < 0"), "euclidean").collect() == []
