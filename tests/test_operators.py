@@ -272,3 +272,14 @@ def test_gram_matrix_in_blocks(spark, monkeypatch, odd_vectors):
     known = [("q" + str(i % 9) if i % 9 != 4 else None, x) for i, x, _ in rows[:30]]
     assert sorted(str((q.id, q.other_id, q.value)) for q in named) == sorted(str((i, j, distances(x, y))) for i, x in known for j, y in known)
     assert features.gram_matrix(table.where("id < 0"), "euclidean").collect() == []
+
+
+def test_gram_matrix_keeps_its_tasks(spark, monkeypatch, odd_vectors):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, table = odd_vectors
+    made = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, n, *by: made(df, 40, *by))  # more than asked for
+    got = features.gram_matrix(table, "euclidean")
+    assert 4 < got.rdd.getNumPartitions() <= 64
+    assert sorted((q.id, q.other_id, str(q.value)) for q in got.collect()) == sorted((i, j, str(distances(x, y))) for i, x, _ in rows for j, y, _ in rows)
